@@ -13,10 +13,10 @@ each bucket the members are compared with its smallest one, on full sets, and
 links are grouped by union-find: within each partition first, then by
 alternating star contractions until nothing changes. A bucket whose members
 then lie in one component is done, as its other pairs can join nothing more.
-In any other bucket the pivot leaves and the next smallest members, more each
-round, are compared with all that remain in other components. So every pair of
-a bucket is either compared or already joined, without ever emitting the pairs
-of a group.
+In any other bucket the members outside its largest component (strays) are
+compared with all that lie in other components, PIVOTS strays a round until none
+is left. So every pair of a bucket is compared, already joined, or ruled out by an
+exact bound: elements that no other candidate holds cannot be in an intersection.
 
 Null and empty texts, and texts of white space, have no element and link with
 nothing. Rows that repeat a doc_id share its component. Rows without doc_id
@@ -27,11 +27,10 @@ to miss a link of similarity 0.8 by banding is (1 - 0.8**4)**32, below 1e-7.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import groups, map_arrow, record_batch, scratch
@@ -41,7 +40,7 @@ SLOTS, BANDS = 128, 32
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEPS = np.array([(k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(SLOTS)], np.uint64)
 LOW = np.uint64(0xFFFFFFFF)
-PIVOTS = (8, 64)
+PIVOTS = (256, 1024)
 
 
 def lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +119,26 @@ def set_table(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return map_arrow(wanted, run, "doc_id long, elements binary").dropDuplicates(["doc_id"])
 
 
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """doc_id, n and shared: the size of each set, and how many of its elements any other of the sets holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.int64)
+                yield record_batch({"doc_id": np.full(len(own), doc), "element": own}, {"doc_id": pa.int64(), "element": pa.int64()})
+
+    alone = map_arrow(sets.select("doc_id", "elements"), run, "doc_id long, element long").groupBy("element").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k")).where("k = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    n = F.expr("cast(octet_length(elements) div 8 as long)")
+    return sets.select("doc_id", n.alias("n")).join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def can_link(percent: int) -> Column:
+    """Whether sets of sizes n and m may be similar enough, given how many elements each shares with any other set: an exact bound."""
+    common = F.least("shared", "m_shared")
+    return 100 * common >= percent * (F.col("n") + F.col("m") - common)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
 
@@ -203,29 +222,33 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     buckets = scratch(rows.join(shared, "key").select("key", "rep", "pivot"), "buckets")
 
     sets = scratch(set_table(docs, buckets.select(F.col("rep").alias("doc_id")).distinct(), shingle), "sets")
-    pairs = buckets.where("rep > pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = [scratch(linked(pairs, sets, percent), "found")]
-    groups_found = components(links[0])
-    active = buckets.where("rep > pivot").select("key", "rep").distinct()
+    bounds = scratch(shared_sizes(sets), "bounds").where(f"100 * shared >= {percent} * n")
+    able = buckets.join(bounds.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "n", "shared")
+    able = able.join(able.groupBy("key").agg(F.min("rep").alias("pivot")), "key")
+    lead = bounds.select(F.col("doc_id").alias("pivot"), F.col("n").alias("m"), F.col("shared").alias("m_shared"))
+    pairs = able.where("rep > pivot").select(F.col("rep").alias("a"), "pivot", "n", "shared").distinct().join(lead, "pivot").where(can_link(percent)).select("a", F.col("pivot").alias("b"))
+    groups_found = components(scratch(linked(pairs, sets, percent), "found"))
+    active = able.select("key", "rep", "n", "shared")
     for turn in range(1 << 30):
-        labelled = active.join(groups_found.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-        open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        unresolved = scratch(labelled.join(open_keys, "key", "left_semi"), "open")
-        if unresolved.isEmpty():
+        labelled = active.join(groups_found.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left").select("key", "rep", "n", "shared", F.coalesce("c", "rep").alias("c"))
+        sizes = labelled.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("top"), F.sum("k").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+        open_rows = scratch(labelled.join(sizes.select("key", (-F.col("top.c")).alias("top"), (F.col("all") - F.col("top.k")).alias("strays")), "key"), "open")
+        if open_rows.isEmpty():
             break
-        chosen = least_members(unresolved, PIVOTS[min(turn, len(PIVOTS) - 1)])
-        pivots = chosen.select("key", F.col("rep").alias("pivot"), F.col("c").alias("pc"))
-        pairs = unresolved.join(pivots, "key").where("rep > pivot and c <> pc").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        links.append(scratch(linked(pairs, sets, percent), "found"))
-        groups_found = components(reduce(DataFrame.unionByName, [groups_found, links[-1]]))
-        active = unresolved.select("key", "rep").join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
+        most = PIVOTS[min(turn, len(PIVOTS) - 1)]
+        chosen = least_members(open_rows.where("c <> top"), most)
+        pivots = chosen.select("key", F.col("rep").alias("pivot"), F.col("c").alias("pc"), F.col("n").alias("m"), F.col("shared").alias("m_shared"))
+        pairs = open_rows.join(pivots, "key").where((F.col("c") != F.col("pc")) & can_link(percent)).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+        groups_found = components(groups_found.unionByName(scratch(linked(pairs, sets, percent), "found")))
+        rest = open_rows.where(F.col("strays") > most)
+        active = rest.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "shared")
     final = members.join(groups_found.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
     component = F.coalesce("c", "rep")
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def least_members(rows: DataFrame, n: int) -> DataFrame:
-    """The n smallest members of each bucket, one more with each pass, so that no bucket is gathered in one place."""
+    """The n smallest members of each bucket, first of each of 64 parts of it, so that no bucket is sorted in one place."""
     salt = F.pmod(F.xxhash64("rep"), F.lit(64))
     some = rows.withColumn("r", F.row_number().over(Window.partitionBy("key", salt).orderBy("rep"))).where(F.col("r") <= n)
     return some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("r") <= n).drop("r")
