@@ -113,7 +113,7 @@ def token_counts(docs: DataFrame, path: str, cache_dir: str | None = None) -> Da
         for part, some in groups(batches):
             yield record_batch({"digest": part.column(0), "version": [version] * len(some), "n_tokens": counter.count(some)}, {"digest": pa.string(), "version": pa.string(), "n_tokens": pa.int64()})
 
-    map_arrow(texts, run, CACHE).write.mode("append").parquet(cache_dir)
+    map_arrow(texts, run, CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache_dir)
     stored = spark.read.schema(CACHE).parquet(cache_dir).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     sized = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sized.join(stored, "digest").select("doc_id", "digest", "n_bytes", "n_tokens")
