@@ -34,7 +34,7 @@ BLOCK, SHARDS, SEED, ROUNDS = 128, 64, 20, 20
 WEIGHTS, SHARE_PERCENT, MOST = (5, 2, 1), 150, 2
 PRIME = 2_147_483_647
 PREFIX = 3
-CHUNK = 16_384
+CHUNK, MAX_PARTS = 4_096, 10_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -90,7 +90,9 @@ def slots(goals: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFra
         .withColumn("n_slots", F.col("epochs") * F.col("each") + F.col("last_full") + F.when(F.col("tail") > 0, 1).otherwise(0))
         .drop("source", "target")
     )
-    parts = plan.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(CHUNK).cast("long")))).repartition("sid", "first")
+    chunks = plan.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(CHUNK).cast("long"))))
+    owed = goals.agg(F.sum("owed")).first()[0] or 0
+    parts = chunks.repartition(int(min(MAX_PARTS, owed // (block * CHUNK) + 8)), "sid", "first")  # a number given is not coalesced
     each = parts.withColumn("slot", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK, F.col("n_slots")) - 1)))
     each = each.withColumn("epoch", F.expr("slot div each")).withColumn("i", F.expr("slot % each"))
     inside = F.col("i") < F.col("full")
