@@ -8,29 +8,34 @@ and the signature varies less than with independent hashes; a walk ends when no
 slot holds more than its level (early stopping).
 
 Documents with equal sets form a class, named by its smallest doc_id; only
-classes go on. Those that agree in a band of the signature share a bucket. In
-each bucket the members are compared with its smallest one, on full sets, and
-links are grouped by union-find: within each partition first, then by
-alternating star contractions until nothing changes. A bucket whose members
-then lie in one component is done, as its other pairs can join nothing more.
-In any other bucket the members outside its largest component (strays) are
-compared with all that lie in other components, PIVOTS strays a round until none
-is left. So every pair of a bucket is compared, already joined, or ruled out by an
-exact bound: elements that no other candidate holds cannot be in an intersection.
+classes go on. Those that agree in a band of the signature share a bucket, and
+buckets that share members make up a family, by union-find over small integers.
+Every two sets of a family are compared, whole, in blocks of bounded size: a
+small family is one block; a large one is cut by size of the sets (more than a
+size class apart, two sets cannot be similar enough) and by a hash. A block's
+intersections are one matrix product over the elements that two of its sets
+hold, and it gives out a spanning forest of its links, never the pairs.
+Large families take two rounds: each block against the first ones, which joins
+most copies; then all blocks of members outside the family's largest component
+(strays) against all its blocks. So every pair is compared or already joined.
+Links are grouped by union-find: within each partition first, then by
+alternating star contractions until nothing changes.
 
 Null and empty texts, and texts of white space, have no element and link with
-nothing. Rows that repeat a doc_id share its component. Rows without doc_id
+nothing. Rows that repeat a doc_id share its component,
+whatever their texts. Rows without doc_id
 link with nothing and are not kept. Only doc_id and text are read. The chance
 to miss a link of similarity 0.8 by banding is (1 - 0.8**4)**32, below 1e-7.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import groups, map_arrow, record_batch, scratch
@@ -40,7 +45,9 @@ SLOTS, BANDS = 128, 32
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEPS = np.array([(k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(SLOTS)], np.uint64)
 LOW = np.uint64(0xFFFFFFFF)
-PIVOTS = (256, 1024)
+#: Most members and elements that a block is meant to hold; hashing makes these means.
+MEMBERS, ELEMENTS = 128, 200_000
+COLUMNS = 8192
 
 
 def lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,56 +116,74 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and elements (sorted uint64) of the documents named."""
+    """doc_id and elements (sorted uint64) of the documents named; a doc_id with several texts has a row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in groups(batches):
             yield record_batch({"doc_id": part.column(0), "elements": [s.tobytes() for s in element_sets(texts, shingle)]}, {"doc_id": pa.int64(), "elements": pa.binary()})
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    return map_arrow(wanted, run, "doc_id long, elements binary").dropDuplicates(["doc_id"])
-
-
-def shared_sizes(sets: DataFrame) -> DataFrame:
-    """doc_id, n and shared: the size of each set, and how many of its elements any other of the sets holds."""
+    return map_arrow(wanted.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("doc_id", "text"), run, "doc_id long, elements binary")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of sets of distinct elements."""
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    values = np.concatenate(sets)
+    order = np.argsort(values)
+    values, owner = values[order], owner[order]
+    same = values[1:] == values[:-1]
+    held = np.r_[same, False] | np.r_[False, same]  # by two sets or more
+    first = np.r_[True, ~same][held]
+    owner, column = owner[held], np.cumsum(first) - 1
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    np.fill_diagonal(out, list(map(len, sets)))
+    alone = out.diagonal() - np.bincount(owner, minlength=len(sets))
+    cuts = [*np.searchsorted(column, np.arange(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS)).tolist(), len(column)]
+    common = np.zeros_like(out)
+    for a, b in zip(cuts, cuts[1:]):
+        wide = np.zeros((len(sets), min(COLUMNS, int(column[b - 1] - column[a]) + 1)), np.float32)
+        wide[owner[a:b], column[a:b] - column[a]] = 1
+        common += (wide @ wide.T).astype(np.int64)
+    return common + np.diag(alone)
+
+
+def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links (a, b) that join the same sets as all links with 100 * intersection >= percent * union."""
+    common = intersections(sets)
+    sizes = common.diagonal()
+    links = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    left, a, b = np.ones(len(ids), bool), [], []
+    for i in range(len(ids)):
+        edge = np.array([i]) if left[i] else ()
+        left[i] = False
+        while len(edge):
+            edge = np.flatnonzero(links[edge].any(axis=0) & left)
+            left[edge] = False
+            a += ids[edge].tolist()
+            b += [int(ids[i])] * len(edge)
+    return a, b
+
+
+def linked(ship: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Forests (a, b) of the links within each task's sets; ship says which sets (rep) each task holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"a": pa.int64(), "b": pa.int64()}
+        now, ids, held = None, [], []
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(raw.as_buffer(), np.int64)
-                yield record_batch({"doc_id": np.full(len(own), doc), "element": own}, {"doc_id": pa.int64(), "element": pa.int64()})
-
-    alone = map_arrow(sets.select("doc_id", "elements"), run, "doc_id long, element long").groupBy("element").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k")).where("k = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    n = F.expr("cast(octet_length(elements) div 8 as long)")
-    return sets.select("doc_id", n.alias("n")).join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+            for task, rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if task != now and ids:
+                    yield record_batch(dict(zip("ab", forest(np.array(ids), held, percent), strict=True)), types)
+                    ids, held = [], []
+                now = task
+                ids.append(rep)
+                held.append(np.frombuffer(raw.as_py(), np.uint64))
+        if ids:
+            yield record_batch(dict(zip("ab", forest(np.array(ids), held, percent), strict=True)), types)
 
-
-def can_link(percent: int) -> Column:
-    """Whether sets of sizes n and m may be similar enough, given how many elements each shares with any other set: an exact bound."""
-    common = F.least("shared", "m_shared")
-    return 100 * common >= percent * (F.col("n") + F.col("m") - common)
-
-
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if 100 * small < percent * large:
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    rows = ship.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("task", "rep", "elements")
+    return map_arrow(rows.repartition("task").sortWithinPartitions("task"), run, "a long, b long")
 
 
 def forests(edges: DataFrame) -> DataFrame:
@@ -209,6 +234,35 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def size_class(percent: int) -> Column:
+    """Sets that are similar enough have sizes n in the same class or in neighbouring ones."""
+    return (F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")).cast("long")
+
+
+def blocks_needed(cells: Column, elements: Column) -> Column:
+    return F.ceil(F.greatest(cells / MEMBERS, elements / ELEMENTS)).cast("int")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows (rep, n, g, c, top), each with its block k among those of its family g, size class c and flag top."""
+    cells = rows.groupBy("g", "c", "top").agg(blocks_needed(F.count("*"), F.sum("n")).alias("blocks"))
+    return rows.join(cells, ["g", "c", "top"]).withColumn("k", F.pmod(F.xxhash64("rep", "g"), F.col("blocks")).cast("int"))
+
+
+def shipped(place: DataFrame, wanted: Column) -> DataFrame:
+    """(rep, task) for every pair of blocks x, y of a family, in equal or neighbouring size classes, that is wanted.
+
+    Two tasks whose hashes were equal would be done as one, which loses nothing.
+    """
+    key = ["c", "top", "k"]
+    blocks = place.select("g", "blocks", *key).distinct()
+    x = blocks.select("g", F.struct(*key).alias("x"), F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("yc"))
+    y = blocks.select("g", F.struct(*key).alias("y"), F.col("c").alias("yc"))
+    pairs = x.join(y, ["g", "yc"]).where(F.col("x") <= F.col("y")).where(wanted)
+    sides = pairs.select("g", F.xxhash64("g", "x", "y").alias("task"), F.explode(F.array_distinct(F.array("x", "y"))).alias("own"))
+    return sides.select("g", "task", "own.*").join(place.select("g", *key, "rep"), ["g", *key]).select("rep", "task")
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept (doc_id = component_id) of every row."""
     marked = scratch(signatures(docs, shingle), "signatures")
@@ -216,39 +270,25 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     classes = marked.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
     members = scratch(marked.select("doc_id", *keys).join(classes, keys, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
-    reps = members.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
-    rows = marked.where("n_shingles > 0").select("doc_id", "bands").join(reps.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    reps = members.where("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n")).distinct()
+    rows = marked.where("n_shingles > 0").join(reps.select("rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
-    buckets = scratch(rows.join(shared, "key").select("key", "rep", "pivot"), "buckets")
-
-    sets = scratch(set_table(docs, buckets.select(F.col("rep").alias("doc_id")).distinct(), shingle), "sets")
-    bounds = scratch(shared_sizes(sets), "bounds").where(f"100 * shared >= {percent} * n")
-    able = buckets.join(bounds.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "n", "shared")
-    able = able.join(able.groupBy("key").agg(F.min("rep").alias("pivot")), "key")
-    lead = bounds.select(F.col("doc_id").alias("pivot"), F.col("n").alias("m"), F.col("shared").alias("m_shared"))
-    pairs = able.where("rep > pivot").select(F.col("rep").alias("a"), "pivot", "n", "shared").distinct().join(lead, "pivot").where(can_link(percent)).select("a", F.col("pivot").alias("b"))
-    groups_found = components(scratch(linked(pairs, sets, percent), "found"))
-    active = able.select("key", "rep", "n", "shared")
-    for turn in range(1 << 30):
-        labelled = active.join(groups_found.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left").select("key", "rep", "n", "shared", F.coalesce("c", "rep").alias("c"))
-        sizes = labelled.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("top"), F.sum("k").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-        open_rows = scratch(labelled.join(sizes.select("key", (-F.col("top.c")).alias("top"), (F.col("all") - F.col("top.k")).alias("strays")), "key"), "open")
-        if open_rows.isEmpty():
-            break
-        most = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        chosen = least_members(open_rows.where("c <> top"), most)
-        pivots = chosen.select("key", F.col("rep").alias("pivot"), F.col("c").alias("pc"), F.col("n").alias("m"), F.col("shared").alias("m_shared"))
-        pairs = open_rows.join(pivots, "key").where((F.col("c") != F.col("pc")) & can_link(percent)).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-        groups_found = components(groups_found.unionByName(scratch(linked(pairs, sets, percent), "found")))
-        rest = open_rows.where(F.col("strays") > most)
-        active = rest.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "shared")
-    final = members.join(groups_found.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
+    near = components(rows.join(shared, "key").where("rep > pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    family = scratch(near.unionByName(near.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("rep"), F.col("b").alias("g")).join(reps, "rep"), "family")
+    sets = scratch(set_table(docs, family.select(F.col("rep").alias("doc_id")), shingle), "sets")
+
+    sizes = family.groupBy("g").agg((blocks_needed(F.count("*"), F.sum("n")) <= 1).alias("small"))
+    family = family.join(sizes, "g")
+    large = family.where("not small").select("rep", "n", "g", size_class(percent).alias("c"))
+    firsts = shipped(placed(large.withColumn("top", F.lit(False))), (F.col("x.k") == 0) | (F.col("y.k") == 0))
+    found = components(linked(family.where("small").select("rep", F.xxhash64("g").alias("task")).unionByName(firsts), sets, percent))
+
+    labelled = large.join(found.select(F.col("a").alias("rep"), F.col("b").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
+    tops = labelled.groupBy("g", "own").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "own")).alias("most"))
+    rest = labelled.join(tops, "g").select("rep", "n", "g", "c", (F.col("own") == F.col("most.own")).alias("top"))
+    strays = shipped(placed(rest), ~(F.col("x.top") & F.col("y.top")))
+    found = components(found.unionByName(linked(strays, sets, percent)))
+
+    final = members.join(found.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
     component = F.coalesce("c", "rep")
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
-
-
-def least_members(rows: DataFrame, n: int) -> DataFrame:
-    """The n smallest members of each bucket, first of each of 64 parts of it, so that no bucket is sorted in one place."""
-    salt = F.pmod(F.xxhash64("rep"), F.lit(64))
-    some = rows.withColumn("r", F.row_number().over(Window.partitionBy("key", salt).orderBy("rep"))).where(F.col("r") <= n)
-    return some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("r") <= n).drop("r")

@@ -226,3 +226,31 @@ def test_near_duplicates(docs, size):
 
 def test_near_duplicates_of_nothing(nothing):
     assert near_dedup.near_dedup(nothing).count() == 0
+
+
+def test_large_families_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEMBERS", 3)
+    rng, words = np.random.default_rng(5), [f"w{i}" for i in range(400)]
+    texts = []
+    for size in (20, 24, 30, 60):  # chains of edits: links of near texts, none of far ones
+        now = list(rng.choice(words, size))
+        for _ in range(25):
+            now = list(now) + [str(rng.choice(words))] * int(rng.integers(0, 2))
+            now[int(rng.integers(len(now)))] = str(rng.choice(words))
+            texts.append(" ".join(now))
+    texts += [texts[3], texts[40]]
+    sets = [{tuple(t.split()[i : i + 2]) for i in range(len(t.split()) - 1)} for t in texts]
+    owner = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((owner[i], owner[j]))
+                owner = [a if x == b else x for x in owner]
+    rows = near_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(owner)) and len(set(owner)) > 5
+
+
+def test_intersections_are_exact():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 30_000, n, np.uint64)) for n in (1, 5, 20_000, 25_000, 25_000)]
+    assert near_dedup.intersections(sets).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets]
