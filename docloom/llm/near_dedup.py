@@ -219,19 +219,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) for every node a that is not the smallest of its component, b being that smallest, from links (a, b)."""
     ordered = lambda e: e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = scratch(ordered(forests(edges)), "links")
-    mark = None
-    while True:
+    while not are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = ordered(large)
+        large = ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = scratch(ordered(small), "links")
-        seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if seen == mark or not seen[0]:
-            return now
-        mark = seen
+    return now
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each a has one b, which is no a itself: then every b is the smallest of its component."""
+    ends = edges.select("a", F.lit(1).alias("own"), F.lit(0).alias("met")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("own"), F.lit(1).alias("met")))
+    return ends.groupBy("a").agg(F.sum("own").alias("own"), F.max("met").alias("met")).where("own > 1 or own = 1 and met = 1").isEmpty()
 
 
 def size_class(percent: int) -> Column:
