@@ -48,6 +48,7 @@ LOW = np.uint64(0xFFFFFFFF)
 #: Most members and elements that a block is meant to hold; hashing makes these means.
 MEMBERS, ELEMENTS = 128, 200_000
 COLUMNS = 8192
+SALTS = 16
 
 
 def lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,6 +236,12 @@ def are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("a").agg(F.sum("own").alias("own"), F.max("met").alias("met")).where("own > 1 or own = 1 and met = 1").isEmpty()
 
 
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the facts on their keys, in SALTS parts of each key, as one family may hold most rows."""
+    parts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS).cast("long"))).join(parts, [*keys, "salt"]).drop("salt")
+
+
 def size_class(percent: int) -> Column:
     """Sets that are similar enough have sizes n in the same class or in neighbouring ones."""
     return (F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")).cast("long")
@@ -247,7 +254,7 @@ def blocks_needed(cells: Column, elements: Column) -> Column:
 def placed(rows: DataFrame) -> DataFrame:
     """rows (rep, n, g, c, top), each with its block k among those of its family g, size class c and flag top."""
     cells = rows.groupBy("g", "c", "top").agg(blocks_needed(F.count("*"), F.sum("n")).alias("blocks"))
-    return rows.join(cells, ["g", "c", "top"]).withColumn("k", F.pmod(F.xxhash64("rep", "g"), F.col("blocks")).cast("int"))
+    return looked_up(rows, cells, ["g", "c", "top"]).withColumn("k", F.pmod(F.xxhash64("rep", "g"), F.col("blocks")).cast("int"))
 
 
 def shipped(place: DataFrame, wanted: Column) -> DataFrame:
@@ -279,14 +286,14 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     sets = scratch(set_table(docs, family.select(F.col("rep").alias("doc_id")), shingle), "sets")
 
     sizes = family.groupBy("g").agg((blocks_needed(F.count("*"), F.sum("n")) <= 1).alias("small"))
-    family = family.join(sizes, "g")
+    family = looked_up(family, sizes, ["g"])
     large = family.where("not small").select("rep", "n", "g", size_class(percent).alias("c"))
     firsts = shipped(placed(large.withColumn("top", F.lit(False))), (F.col("x.k") == 0) | (F.col("y.k") == 0))
     found = components(linked(family.where("small").select("rep", F.xxhash64("g").alias("task")).unionByName(firsts), sets, percent))
 
     labelled = large.join(found.select(F.col("a").alias("rep"), F.col("b").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
     tops = labelled.groupBy("g", "own").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "own")).alias("most"))
-    rest = labelled.join(tops, "g").select("rep", "n", "g", "c", (F.col("own") == F.col("most.own")).alias("top"))
+    rest = looked_up(labelled, tops, ["g"]).select("rep", "n", "g", "c", (F.col("own") == F.col("most.own")).alias("top"))
     strays = shipped(placed(rest), ~(F.col("x.top") & F.col("y.top")))
     found = components(found.unionByName(linked(strays, sets, percent)))
 
