@@ -29,16 +29,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import groups, map_arrow, record_batch
+from docloom.llm.common import groups, keep, map_arrow, record_batch
 
 NONE = np.int32(1 << 30)
 LONG = 128
-CACHED_WORDS = 700_000
+CACHED_WORDS, CACHED_CHARS = 700_000, 8_000_000
 #: What the regex library or re may take for white space, twice.
 RUN = re.compile(r"[\s\x1c-\x1f\x85]{2}")
 
-_coders: dict[tuple[str, str], ByteBpe] = {}
-
 
 class ByteBpe:
     """Encoder and decoder for a file of base64 tokens and ranks."""
@@ -60,12 +58,11 @@ class ByteBpe:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
         self.words: dict[str, str] = {}
+        self.cached_chars = 0
 
     @staticmethod
     def at(path: str, pattern: str) -> ByteBpe:
-        if (path, pattern) not in _coders:
-            _coders[path, pattern] = ByteBpe(path, pattern)
-        return _coders[path, pattern]
+        return keep(("bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
     # --- merging -------------------------------------------------------
     def merge_long(self, piece: bytes) -> list[int]:
@@ -212,9 +209,11 @@ class ByteBpe:
         cut = list(map(self.chunks, texts))
         wanted = set().union(*cut)
         missing = [c for c in wanted if c not in self.words]
-        if len(self.words) + len(missing) > CACHED_WORDS:
+        self.cached_chars += sum(map(len, missing))
+        if len(self.words) + len(missing) > CACHED_WORDS or self.cached_chars > CACHED_CHARS:
             self.words.clear()
             missing = list(wanted)
+            self.cached_chars = sum(map(len, missing))
         self.learn(missing)
         known = self.words.__getitem__
         return [",".join(map(known, chunks)) for chunks in cut]
@@ -241,7 +240,7 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [np.array(g.split(","), np.int32) if g else np.empty(0, np.int32) for g in got]
             yield record_batch({"doc_id": part.column(0), "ids": ids, "decoded": list(map(coder.decode_joined, got))}, {"doc_id": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()})
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, decoded binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, decoded binary", keeps=True)
 
 
 def byte_bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -258,4 +257,4 @@ def byte_bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()},
             )
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)

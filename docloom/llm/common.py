@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -44,9 +45,37 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+#: What a worker keeps for its next task: one thing at most, since workers outlive the operator that filled them.
+_kept: dict = {}
+
+
+def keep(key: tuple, make: Callable[[], object]) -> object:
+    """What the worker keeps under this key, made anew unless it is what was kept last."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Drop what the worker keeps and give its memory back."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def map_arrow(df: DataFrame, fn, schema: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow; unless fn keeps something itself, its tasks first drop what another operator left in the worker."""
     workers_import(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.enable()
+        if not keeps:
+            release()
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

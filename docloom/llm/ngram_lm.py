@@ -29,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import groups, map_arrow, record_batch, scratch
+from docloom.llm.common import groups, keep, map_arrow, record_batch, scratch
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
 START = SYMBOLS - 1
 QUANTILE, MARGIN, LEAST = 0.995, 0.05, 50
 
-_tables: dict[str, np.ndarray] = {}
-
 
 def symbol_table() -> np.ndarray:
     """Symbol of each code point below 128: 0-25 letters, 26 capitals, 27 space, 28 other space, 29 digits, 30-37 marks."""
@@ -146,15 +144,12 @@ def scored(docs: DataFrame, orders: list, key: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _tables:
-            _tables.clear()
-            _tables[key] = dense(sent.value)
-        table = _tables[key]
+        table = keep(("lm", key), lambda: dense(sent.value))
         for part, texts in groups(batches):
             scores = [float(table.take(grams(t)).mean(dtype=np.float64)) if t else None for t in texts]
             yield record_batch({"doc_id": part.column(0), "lang": part.column(1), "n_symbols": list(map(len, texts)), "score": scores}, {"doc_id": pa.int64(), "lang": pa.string(), "n_symbols": pa.int64(), "score": pa.float64()})
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), run, "doc_id long, lang string, n_symbols long, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), run, "doc_id long, lang string, n_symbols long, score double", keeps=True)
 
 
 def lm_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
