@@ -5,11 +5,14 @@ subdomains, and every path with that beginning; the longest rule that fits
 decides. Other urls are judged by their template. Per host, path segments with a
 digit, and segments below a node with more than FAN_OUT different ones, become
 wildcards. Pages that a rule decides are the labels: a template's purity is the
-smoothed share of blocked pages among its labelled ones. Templates of a host
-that differ in their first segment alone are branches of one node; branches
-whose share of blocked pages lies within two standard errors of all of theirs
-are merged and pool their labels. A branch without labels is merged only if two
-others at least have some. Templates of purity REJECT or more are blocked.
+smoothed share of blocked pages among its labelled ones. From the first segment
+down, sibling branches (nodes below one node) whose share of blocked pages lies
+within two standard errors of all of theirs are merged, with all below them, so
+the children of merged branches become siblings in turn. A branch without labels
+is merged only if two others at least have some: one branch alone does not show
+that siblings are alike. A template pools the labels of those merged with it,
+but where its own labels differ from theirs by more than two standard errors its
+own count alone. Templates of purity REJECT or more are blocked.
 
 All is DataFrame code: templates are counted before anything is exploded, so a
 host with most pages is no hot spot. Null urls, and urls without ://, have an
@@ -22,9 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import scratch
+
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 FAN_OUT, PRIOR, STRENGTH, REJECT = 50, 0.25, 4, 0.8
 MAX_RULES = 500
+MERGED = "/"  # no segment holds one
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -58,6 +64,30 @@ def segments() -> Column:
     return F.transform(raw, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
 
 
+def alike() -> Column:
+    """Whether bad of labelled lies within two standard errors of all_bad of all_labelled."""
+    bad, n, all_bad, all_n = (F.col(c).cast("double") for c in ("bad", "labelled", "all_bad", "all_labelled"))
+    gap = bad * all_n - all_bad * n
+    return gap * gap <= 4 * all_bad * (all_n - all_bad) * n
+
+
+def merged(leaves: DataFrame) -> DataFrame:
+    """Leaves (host, template, bad, labelled) with branch: their segments, MERGED for those of merged siblings."""
+    now, place = leaves.withColumn("branch", F.split("template", "/")), 0
+    while True:
+        nodes = now.where("labelled > 0").select("host", "branch", F.explode(F.sequence(F.lit(1), F.size("branch"))).alias("place")).where(F.col("place") > place)
+        nodes = nodes.select("host", "place", F.expr("slice(branch, 1, place - 1)").alias("parent"), F.expr("branch[place - 1]").alias("segment")).distinct()
+        place = nodes.groupBy("host", "place", "parent").agg(F.count("*").alias("n")).where("n >= 2").agg(F.min("place")).first()[0]
+        if place is None:  # no siblings with labels below this place
+            return now
+        here = now.withColumn("parent", F.slice("branch", 1, place - 1)).withColumn("segment", F.get("branch", F.lit(place - 1)))
+        each = here.where("segment is not null").groupBy("host", "parent", "segment").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+        pools = each.groupBy("host", "parent").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"), F.count(F.when(F.col("labelled") > 0, 1)).alias("with_labels")).where("with_labels >= 2")
+        same = each.join(pools, ["host", "parent"]).where(alike()).select("host", "parent", "segment", F.lit(True).alias("same"))
+        branch = F.when(F.col("same"), F.transform("branch", lambda s, i: F.when(i == place - 1, F.lit(MERGED)).otherwise(s))).otherwise(F.col("branch"))
+        now = scratch(here.join(same, ["host", "parent", "segment"], "left").select(*leaves.columns, branch.alias("branch")), f"branches{place}")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, form (segments joined by /), template, and the template's verdict, from pages with rules."""
     counted = pages.groupBy("host", "form").agg(F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"), F.count("ruled").alias("labelled"))
@@ -67,14 +97,10 @@ def templates(pages: DataFrame) -> DataFrame:
     named = steps.join(wide, ["host", "parent"], "left").groupBy("host", "form").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("star", "segment").alias("s")))).alias("all"))
     named = named.select("host", "form", F.array_join(F.transform("all", lambda x: x["s"]), "/").alias("template"))
     leaves = named.join(counted, ["host", "form"]).groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    leaves = leaves.withColumn("below", F.array_join(F.expr("slice(split(template, '/'), 2, greatest(size(split(template, '/')) - 1, 0))"), "/")).withColumn("depth", F.size(F.split("template", "/")))
-    pools = leaves.groupBy("host", "below", "depth").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"), F.count(F.when(F.col("labelled") > 0, 1)).alias("with_labels"))
-    bad, n, all_bad, all_n = (F.col(c).cast("double") for c in ("bad", "labelled", "all_bad", "all_labelled"))
-    gap = bad * all_n - all_bad * n
-    similar = (gap * gap <= 4 * all_bad * (all_n - all_bad) * n) & ((F.col("labelled") > 0) | (F.col("with_labels") >= 2))
-    judged = leaves.join(pools, ["host", "below", "depth"]).withColumn("similar", similar)
-    merged = judged.where("similar").groupBy("host", "below", "depth").agg(F.sum("bad").alias("m_bad"), F.sum("labelled").alias("m_n"))
-    pooled = judged.join(merged, ["host", "below", "depth"], "left")
+    leaves = merged(scratch(leaves, "templates"))
+    pools = leaves.groupBy("host", "branch").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
+    judged = leaves.join(pools, ["host", "branch"]).withColumn("similar", alike())
+    pooled = judged.join(judged.where("similar").groupBy("host", "branch").agg(F.sum("bad").alias("m_bad"), F.sum("labelled").alias("m_n")), ["host", "branch"], "left")
     b = F.when(F.col("similar"), F.col("m_bad")).otherwise(F.col("bad"))
     m = F.when(F.col("similar"), F.col("m_n")).otherwise(F.col("labelled"))
     purity = (b + PRIOR * STRENGTH) / (m + STRENGTH)
