@@ -10,9 +10,16 @@ doc_id; this bound on training is the only one, scores cover whole texts. A
 third of the sample is held out for Platt scaling of the logit to a
 probability, and rows are kept from the fixed THRESHOLD on.
 
+Toxic text is told by a few words of it, which a mean over a text drowns, so a
+second classifier looks at which words stand in a text at all: naive Bayes, on
+at most SAMPLE rows labelled toxic (of any quality) against the good ones, with
+the log odds of the hashed words that stand in SEEN training texts or more and
+whose share of texts differs between the classes by a chi-square of SPLIT or
+more. Its logit is scaled likewise; p_good is the smaller of the two.
+
 Null and empty texts have no words, fail the base rules and are not kept. Equal
-texts get equal values. Without both classes among the labels the verdict is
-the base rules' alone. Labels that are null, or repeat, count as they stand.
+texts get equal values. A classifier that lacks one of its classes among the labels
+has no say; without both the verdict is the base rules' alone. Labels that are null, or repeat, count as they stand.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from docloom.llm.textbytes import is_space, mix, runs, word_hashes, word_spans
 BUCKETS = 1 << 18
 SAMPLE = 1000
 THRESHOLD = 0.3
+SEEN, SPLIT = 4, 15.0
 CHAR_ORDERS = (2, 4, 6)
 WORD_ORDERS = (1, 2)
 FAMILIES = len(CHAR_ORDERS) + len(WORD_ORDERS)
@@ -117,6 +125,44 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def present_words(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the words that stand in a text, each once."""
+    return np.unique((hashes >> np.uint64(46)).astype(np.int32))
+
+
+class Toxicity:
+    """Log odds by bucket (most are 0), Platt's slope and offset."""
+
+    def __init__(self, weights: np.ndarray, slope: float, offset: float):
+        self.weights, self.slope, self.offset = weights, slope, offset
+
+    def probability(self, hashes: np.ndarray) -> float:
+        """Of not being toxic."""
+        of = (hashes >> np.uint64(46)).astype(np.int32)
+        z = self.weights.take(np.unique(of[self.weights.take(of) != 0])).sum(dtype=np.float64)
+        return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -40, 40))))
+
+
+def fit_toxicity(words: list[np.ndarray], good: np.ndarray) -> Toxicity | None:
+    """Naive Bayes on two thirds of each class, then Platt scaling on the rest; None if no word tells the classes apart."""
+    held = np.zeros(len(good), np.bool_)
+    for c in (0, 1):
+        held[np.flatnonzero(good == c)[::3]] = True
+    texts, n = [], []
+    for c in (0, 1):
+        own = np.flatnonzero(~held & (good == c))
+        texts.append(np.bincount(np.concatenate([words[i] for i in own]), minlength=BUCKETS).astype(np.float64))
+        n.append(len(own))
+    share = (texts[0] + texts[1]) / (n[0] + n[1])
+    split = (texts[0] / n[0] - texts[1] / n[1]) ** 2 / np.maximum(share * (1 - share) * (1 / n[0] + 1 / n[1]), 1e-12)
+    odds = np.log((texts[1] + 0.5) / (n[1] + 1)) - np.log((texts[0] + 0.5) / (n[0] + 1))
+    weights = np.where((split >= SPLIT) & (texts[0] + texts[1] >= SEEN), odds, 0).astype(np.float32)
+    if not weights.any():
+        return None
+    z = np.array([float(weights.take(words[i]).sum(dtype=np.float64)) for i in np.flatnonzero(held)])
+    return Toxicity(weights, *platt(z, good[held]))
+
+
 def fit(vectors: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: int = 80, ridge: float = 1e-5) -> Classifier:
     """Full-batch gradient steps with momentum on the class-balanced loss, then Platt scaling on each third vector."""
     held = np.arange(len(good)) % 3 == 0
@@ -161,6 +207,7 @@ def platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     spread = max(float(np.std(z)), 1e-9)
     x = z / spread
     a, b = 1.0, 0.0
+    loss = lambda a, b: (weight * (np.logaddexp(0, a * x + b) - target * (a * x + b))).sum() + 5e-4 * a * a
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
         g, h = weight * (p - target), weight * p * (1 - p) + 1e-9
@@ -169,44 +216,61 @@ def platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
         det = haa * hbb - hab * hab
         if abs(det) < 1e-12:
             break
-        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
+        da, db, now = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det, loss(a, b)
+        for _ in range(30):  # full Newton steps can run away on few rows
+            if loss(a - da, b - db) <= now:
+                a, b = a - da, b - db
+                break
+            da, db = da / 2, db / 2
     return float(max(a, 1e-3) / spread), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """The classifier from at most `sample` labelled rows of each class, or None if a class is missing."""
-    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).alias("good")).where("good is not null")
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Classifier | None, Toxicity | None]:
+    """The classifiers from at most `sample` labelled rows of each class (good, bad and toxic), each None if one of its classes is missing."""
+    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(4))
-    chosen = label.where("good = 1").orderBy(order, "doc_id").limit(sample).unionByName(label.where("good = 0").orderBy(order, "doc_id").limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")  # chosen has 2 * sample rows at most
+    draw = lambda rows: label.where(rows).orderBy(order, "doc_id").limit(sample)
+    classes = draw("good = 1").select("doc_id", F.lit(1).alias("class")), draw("good = 0").select("doc_id", F.lit(0).alias("class")), draw("toxic").select("doc_id", F.lit(2).alias("class"))
+    chosen = classes[0].unionByName(classes[1]).unionByName(classes[2])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")  # chosen has 3 * sample rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in groups(batches):
             vectors = [features(t) for t in texts]
-            yield record_batch({"doc_id": part.column(0), "good": part.column(1), "index": [v[0].tobytes() for v in vectors], "value": [v[1].tobytes() for v in vectors]}, {"doc_id": pa.int64(), "good": pa.int32(), "index": pa.binary(), "value": pa.binary()})
-
-    got = map_arrow(rows.select("doc_id", "good", "text"), run, "doc_id long, good int, index binary, value binary").toArrow()
+            raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+            words = [present_words(word_hashes(raw, *word_spans(raw))) for raw in raws]
+            yield record_batch(
+                {"doc_id": part.column(0), "class": part.column(1), "index": [v[0].tobytes() for v in vectors], "value": [v[1].tobytes() for v in vectors], "words": [w.tobytes() for w in words]},
+                {"doc_id": pa.int64(), "class": pa.int32(), "index": pa.binary(), "value": pa.binary(), "words": pa.binary()},
+            )
+
+    got = map_arrow(rows.select("doc_id", "class", "text"), run, "doc_id long, class int, index binary, value binary, words binary").toArrow()
     if not got.num_rows:
-        return None
-    order = np.lexsort((got.column("good").to_numpy(), mix(got.column("doc_id").to_numpy().astype(np.uint64))))
-    good = got.column("good").to_numpy()[order]
-    if len(good) < 6 or good.min() == good.max():
-        return None
-    index, value = got.column("index").to_pylist(), got.column("value").to_pylist()
-    return fit([(np.frombuffer(index[i], np.int32), np.frombuffer(value[i], np.float32)) for i in order], good)
+        return None, None
+    kind, number = got.column("class").to_numpy(), mix(got.column("doc_id").to_numpy().astype(np.uint64))
+    order = np.lexsort((kind, number))
+    index, value, words = (got.column(c).to_pylist() for c in ("index", "value", "words"))
+    two = order[kind[order] != 2]
+    quality = toxicity = None
+    if len(two) >= 6 and kind[two].min() != kind[two].max():
+        quality = fit([(np.frombuffer(index[i], np.int32), np.frombuffer(value[i], np.float32)) for i in two], kind[two])
+    two = order[kind[order] != 0]
+    good = (kind[two] == 1).astype(np.int32)
+    if min(good.sum(), len(good) - good.sum()) >= 3:
+        toxicity = fit_toxicity([np.frombuffer(words[i], np.int32) for i in two], good)
+    return quality, toxicity
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """Per row doc_id, the base counts, base_failed, p_good and kept; with carry, all columns of docs as `row` instead of doc_id."""
-    model = train(docs, labels, sample)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS float32 values at most
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))  # 2 * BUCKETS float32 values at most
     n_words, word_chars, symbols, dup, repeat = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
     types = {n_words: pa.int64(), word_chars: pa.int64(), symbols: pa.int64(), dup: pa.int64(), repeat: pa.int64(), "base_failed": pa.bool_(), "p_good": pa.float64(), "kept": pa.bool_()}
     first = "row" if carry else "doc_id"
     source = docs.select(F.struct("*").alias("row"), "text") if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model, toxicity = sent.value
         for part, texts in groups(batches):
             rows = []
             raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
@@ -220,6 +284,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
                 counts = base_counts(own, starts[a:b], ends[a:b], hashes[a:b], text)
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > REPEAT_PERCENT * counts[0]
                 p = model.probability(own, hashes[a:b]) if model is not None else 1.0
+                if toxicity is not None:
+                    p = min(p, toxicity.probability(hashes[a:b]))
                 rows.append((*counts, failed, p, not failed and p >= threshold))
                 at += size + 1
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types.values(), strict=True)]

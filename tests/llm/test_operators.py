@@ -138,6 +138,22 @@ def test_quality_rules_learn_on_held_out_rows(spark):
     assert np.mean(good) > 0.9 and np.mean(bad) < 0.2
 
 
+def test_quality_rules_catch_toxic_rows(spark):
+    rng, words = np.random.default_rng(7), [f"w{i}" for i in range(300)]
+    bad = ["idiot", "moron", "scum"]
+    rows, labels = [], []
+    for i in range(240):
+        text = [str(w) for w in rng.choice(words, 40 + i % 200)]
+        if i % 4 == 0:
+            text[i % 7] = bad[i % 3]
+        rows.append((i, " ".join(text)))
+        if i < 160:
+            labels.append((i, 1, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert np.mean([kept[i] for i in range(160, 240) if i % 4]) > 0.95 and np.mean([kept[i] for i in range(160, 240, 4)]) < 0.1
+
+
 def test_media_round_trip(docs, nothing):
     texts = texts_of(docs)
     for r in media.audio_digests(docs).collect():
