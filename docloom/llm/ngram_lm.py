@@ -1,22 +1,26 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model runs over characters, mapped to 64 symbols (a-z, one for capitals, and
-classes of digits, spaces, marks and letters beyond ASCII), so a 4-gram is a
-24-bit number and the model can never hold more than 64**4 entries, however
-large the corpus: that bounds what is sent to the executors. 4-grams of all
-trusted texts (labelled quality 1 and not toxic) are counted in each task, summed
-in shards by key, and lower orders count in how many contexts their n-gram
-continues. Counts meet their context's totals and the lower order in joins
-sharded by those keys. Discounts for counts 1, 2 and 3+ come from the counts of
-counts, as Chen and Goodman give them.
-
-A document's score is the mean negative log probability of its symbols (the log
-of its perplexity); it is kept if that is at most the QUANTILE of the trusted
-documents of its language, or of all trusted ones where a language has fewer
-than LEAST. Null and empty texts have no score and are not kept; null is a
-language of its own. Without trusted text nothing is rejected but such texts.
-Repeated rows are judged alike. Labels that repeat a doc_id count once; a label
-that is null does not count.
+The model runs over words (runs without white space, hashed to 64 bits), order
+WORDS. Word n-grams of the trusted texts (labelled quality 1 and not toxic) stay
+in tables that grow with the text, and lower orders count in how many contexts
+their n-gram continues. Documents are scored by joins sharded on the n-gram: the
+distinct n-grams of each document meet the table of the highest order, and those
+not found go on to the next with the weight that their context leaves. Words
+never seen are spelled by a model of the same kind over characters, mapped to 64
+symbols (a-z, one for capitals, and classes of digits, spaces, marks and letters
+beyond ASCII), order ORDER; that one can hold no more than 64**4 entries and is
+broadcast. Discounts for counts 1, 2 and 3+ come from the counts of counts, as
+Chen and Goodman give them.
+
+A document's score is the negative log probability of its words, per symbol (the
+log of its perplexity); its letter score is the same for its characters alone,
+which tells a repeated word or odd capitals that words of a known kind hide. Every HOLD-th trusted document, by a hash of doc_id, is
+left out of the counts, as texts that were counted score too well; a document is
+kept if each of its scores is at most the QUANTILE of theirs in its language, or
+of all of them where a language has fewer than LEAST. Texts that are null, empty or have
+no words have no score and are not kept; null is a language of its own. Without
+trusted text nothing is rejected but such texts. Repeated rows are judged alike.
+Labels that repeat a doc_id count once; a label that is null does not count.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import groups, keep, map_arrow, record_batch, scratch
+from docloom.llm.textbytes import mix, word_hashes, word_spans
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
 START = SYMBOLS - 1
-QUANTILE, MARGIN, LEAST = 0.995, 0.05, 50
+WORDS, HOLD = 3, 5
+QUANTILE, MARGIN, LEAST = 0.995, 0.0, 50
 
 
 def symbol_table() -> np.ndarray:
@@ -139,33 +145,132 @@ def dense(orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -
     return -np.log(table)
 
 
-def scored(docs: DataFrame, orders: list, key: str) -> DataFrame:
-    """doc_id, lang, n_symbols and score (mean negative log probability; null for no text) of every row."""
+def spelled(words: list[str], table: np.ndarray) -> np.ndarray:
+    """Negative log probability of each word's symbols and the space after it."""
+    s = symbols("".join("\0\0\0" + w + " " for w in words))[ORDER - 1 :]
+    begin = np.cumsum([0] + [len(w) + ORDER for w in words])[:-1]
+    lead = (begin[:, None] + np.arange(ORDER - 1)).ravel()
+    s[lead] = START
+    cost = np.zeros(len(s), np.float64)
+    cost[ORDER - 1 :] = table.take(s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:])
+    cost[lead] = 0
+    return np.add.reduceat(cost, begin)
+
+
+def combined(of: list[np.ndarray]) -> np.ndarray:
+    """Hashes of n-grams from those of their words, oldest first."""
+    out = np.full(len(of[0]), len(of), np.uint64)
+    for x in of:
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + x)
+    return out.view(np.int64)
+
+
+GRAMS = [f"g{k}" for k in range(1, WORDS + 1)]  # gk: the last k words
+CONTEXTS = [f"c{k}" for k in range(2, WORDS + 1)]  # ck: the last k words but the last
+
+
+def word_grams(docs: DataFrame, orders: list, key: str) -> DataFrame:
+    """For each text (by `text_key`) its distinct n-grams of all orders, how often they stand in it, and the last word's cost of spelling; n_symbols and the cost of its characters on one of its rows."""
     sent = docs.sparkSession.sparkContext.broadcast(orders)
+    types = {"text_key": pa.int64(), "n_symbols": pa.int64(), "letters": pa.float64(), "n": pa.int64(), "spell": pa.float32()} | dict.fromkeys(GRAMS + CONTEXTS, pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = keep(("lm", key), lambda: dense(sent.value))
         for part, texts in groups(batches):
-            scores = [float(table.take(grams(t)).mean(dtype=np.float64)) if t else None for t in texts]
-            yield record_batch({"doc_id": part.column(0), "lang": part.column(1), "n_symbols": list(map(len, texts)), "score": scores}, {"doc_id": pa.int64(), "lang": pa.string(), "n_symbols": pa.int64(), "score": pa.float64()})
+            out = {k: [] for k in types}
+            raws = [t.encode() for t in texts]
+            spans = [word_spans(np.frombuffer(r, np.uint8)) for r in raws]
+            hashes = [word_hashes(np.frombuffer(r, np.uint8), *s) for r, s in zip(raws, spans, strict=True)]
+            known, at = np.unique(np.concatenate(hashes), return_index=True)
+            if not len(known):
+                continue
+            owner = np.repeat(np.arange(len(raws)), [len(h) for h in hashes])[at]
+            a, b = (np.concatenate([s[k] for s in spans])[at].tolist() for k in (0, 1))
+            costs = spelled([raws[o][i:j].decode("utf-8", "replace") for o, i, j in zip(owner.tolist(), a, b, strict=True)], table)
+            for text_key, text, own in zip(part.column(0).to_pylist(), texts, hashes, strict=True):
+                if not len(own):
+                    continue
+                padded = np.concatenate([np.zeros(WORDS - 1, np.uint64), own])
+                last = [padded[WORDS - 1 - k : len(padded) - k] for k in range(WORDS)]  # the last word, the one before, ...
+                top, first, n = np.unique(combined(last[::-1]), return_index=True, return_counts=True)
+                last = [x[first] for x in last]
+                row = {"text_key": np.full(len(top), text_key), "n_symbols": np.zeros(len(top), np.int64), "letters": np.zeros(len(top)), "n": n, "spell": costs[np.searchsorted(known, last[0])].astype(np.float32), GRAMS[-1]: top}
+                row["n_symbols"][0], row["letters"][0] = len(text), table.take(grams(text)).sum(dtype=np.float64)
+                row |= {f"g{k}": combined(last[:k][::-1]) for k in range(1, WORDS)} | {f"c{k}": combined(last[1:k][::-1]) for k in range(2, WORDS + 1)}
+                for k in types:
+                    out[k].append(row[k])
+            if out["n"]:
+                yield record_batch({k: np.concatenate(v) for k, v in out.items()}, types)
+
+    source = docs.select(text_key(), "text").where("text is not null")
+    return map_arrow(source, run, "text_key long, n_symbols long, letters double, n long, spell float, " + ", ".join(f"{c} long" for c in GRAMS + CONTEXTS), keeps=True)
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("text_key")
+
+
+def word_model(found: DataFrame) -> list[tuple[DataFrame, DataFrame | None, float]]:
+    """For each order from 1: n-grams with p, contexts with weight (None for order 1), and the weight where no context is known."""
+    now = scratch(found.groupBy(*GRAMS, *CONTEXTS).agg(F.sum("n").alias("n"), F.max("spell").alias("spell")), f"words{WORDS}")
+    tables = {WORDS: now}
+    for order in range(WORDS - 1, 0, -1):
+        now = scratch(now.groupBy(*GRAMS[:order], *CONTEXTS[: order - 1]).agg(F.count("*").alias("n"), F.max("spell").alias("spell")), f"words{order}")
+        tables[order] = now
+    out, lower = [], None
+    for order in range(1, WORDS + 1):
+        d = discounts(tables[order])
+        own = (F.col("n") - discounted(d)) / F.col("total")
+        sums = F.sum("n").alias("total"), F.sum(discounted(d)).alias("left")
+        if order == 1:
+            total, left = tables[1].agg(*sums).first()
+            contexts, weight = None, left / total if total else 1.0
+            full = tables[1].withColumn("total", F.lit(float(total or 1))).withColumn("p", own + weight * F.exp(-F.col("spell")))
+        else:
+            totals = tables[order].groupBy(f"c{order}").agg(*sums).withColumn("weight", F.col("left") / F.col("total"))
+            contexts, weight = scratch(totals.select(f"c{order}", "weight"), f"contexts{order}"), 1.0
+            full = tables[order].join(totals, f"c{order}").join(lower.withColumnRenamed("p", "q"), f"g{order - 1}").withColumn("p", own + F.col("weight") * F.col("q"))
+        lower = scratch(full.select(f"g{order}", "p"), f"wordp{order}")
+        out.append((lower, contexts, weight))
+    return out
+
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), run, "doc_id long, lang string, n_symbols long, score double", keeps=True)
+def scored(found: DataFrame, orders: list[tuple[DataFrame, DataFrame | None, float]]) -> DataFrame:
+    """text_key, score and letter_score of every text that has words."""
+    todo, sums = found.withColumn("cost", F.lit(0.0)), None
+    for order in range(WORDS, 0, -1):
+        table, contexts, weight = orders[order - 1]
+        met = scratch(todo.join(table, f"g{order}", "left").drop(f"g{order}"), f"met{order}")
+        rest = met.where("p is null").drop("p")
+        if contexts is not None:
+            todo = rest.join(contexts, f"c{order}", "left").withColumn("cost", F.col("cost") - F.log(F.coalesce("weight", F.lit(1.0)))).drop(f"c{order}", "weight")
+        else:
+            todo = rest.withColumn("cost", F.col("cost") + F.col("spell") - float(np.log(weight)))
+        done = met.where("p is not null").select("text_key", "n_symbols", "letters", "n", (F.col("cost") - F.log("p")).alias("cost"))
+        sums = done if sums is None else sums.unionByName(done)
+    sums = sums.unionByName(todo.select("text_key", "n_symbols", "letters", "n", "cost"))
+    return sums.groupBy("text_key").agg((F.sum(F.col("cost") * F.col("n")) / F.sum("n_symbols")).alias("score"), (F.sum("letters") / F.sum("n_symbols")).alias("letter_score"))  # copies of a text add to all sums
 
 
 def lm_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, score, perplexity, threshold (on the score) and kept of every row."""
+    """doc_id, lang, n_symbols, score, perplexity, threshold (on the score), kept, and letter_score with its threshold, of every row."""
     good = trusted(labels)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left_semi")
-    counts = scratch(gram_counts(texts.where("text is not null")), "grams")
-    orders = model(counts)
-    scores = scratch(scored(docs, orders, uuid.uuid4().hex), "scores")
-    own = scores.where("score is not null").join(good, "doc_id", "left_semi")
-    quantile = F.percentile_approx("score", QUANTILE, 10_000)
-    per_lang = own.groupBy("lang").agg(F.count("*").alias("n"), quantile.alias("q")).where(F.col("n") >= LEAST).select(F.col("lang").alias("of"), "q")
-    overall = own.agg(quantile).first()[0]
-    limit = F.coalesce("q", F.lit(overall).cast("double"), F.lit(float("inf"))) + MARGIN
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(good, "doc_id", "left_semi")
+    left_out = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(HOLD)) == 0
+    texts = texts.where(~left_out)
+    spelling, key = model(scratch(gram_counts(texts), "grams")), uuid.uuid4().hex
+    scores = scratch(scored(word_grams(docs, spelling, key), word_model(word_grams(texts, spelling, key))), "scores")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols"), text_key())
+    scores = scratch(rows.join(scores, "text_key", "left").drop("text_key"), "rows")
+    own = scores.where("score is not null").join(good.where(left_out), "doc_id", "left_semi")
+    quantiles = [F.percentile_approx(c, QUANTILE, 10_000).alias(q) for c, q in (("score", "q"), ("letter_score", "letter_q"))]
+    per_lang = own.groupBy("lang").agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= LEAST).select(F.col("lang").alias("of"), "q", "letter_q")
+    overall = own.agg(*quantiles).first()
+    limit = lambda q: F.coalesce(q, F.lit(overall[q]).cast("double"), F.lit(float("inf"))) + MARGIN
     return (
         scores.join(per_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
-        .withColumn("threshold", limit)
-        .select("doc_id", "lang", "n_symbols", "score", F.exp("score").alias("perplexity"), "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(False)).alias("kept"))
+        .withColumn("threshold", limit("q"))
+        .withColumn("letter_threshold", limit("letter_q"))
+        .withColumn("kept", F.coalesce((F.col("score") <= F.col("threshold")) & (F.col("letter_score") <= F.col("letter_threshold")), F.lit(False)))
+        .select("doc_id", "lang", "n_symbols", "score", F.exp("score").alias("perplexity"), "threshold", "kept", "letter_score", "letter_threshold")
     )

@@ -201,6 +201,44 @@ def test_language_model_probabilities_sum_to_one(docs):
     assert np.allclose(table.reshape(-1, ngram_lm.SYMBOLS).sum(1), 1, atol=1e-3)
 
 
+def test_word_model_matches_plain_counts(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefg"), int(n))) for n in rng.integers(1, 25, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spelling = ngram_lm.model(ngram_lm.gram_counts(docs))
+    table = ngram_lm.dense(spelling)
+    counts = Counter(tuple((["<"] * 2 + t.split())[i : i + 3]) for t in texts[:40] for i in range(len(t.split())))
+    tables, d = {3: counts}, {}
+    for k in (2, 1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    for k, c in tables.items():
+        n = [sum(v == m for v in c.values()) for m in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n[:3]) else 0
+        d[k] = [min(max(m - (m + 1) * y * n[m] / n[m - 1], 0.05), m - 0.05) for m in (1, 2, 3)] if y else [0.5, 1.0, 1.5]
+
+    def p(g):
+        if not g:
+            return None
+        k = len(g)
+        low = p(g[1:]) if k > 1 else float(np.exp(-ngram_lm.spelled([g[0]], table)[0]))
+        of = {x: v for x, v in tables[k].items() if x[:-1] == g[:-1]}
+        if not of:
+            return low
+        cut = lambda v: d[k][min(v, 3) - 1]
+        own = (of[g] - cut(of[g])) if g in of else 0
+        return (own + sum(map(cut, of.values())) * low) / sum(of.values())
+
+    model = ngram_lm.word_model(ngram_lm.word_grams(docs.where("doc_id < 40"), spelling, "a"))
+    tests = [*texts, "zz a b zz", "a a a a a a a"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tests)], "doc_id long, text string")
+    got = rows.select("text", ngram_lm.text_key()).join(ngram_lm.scored(ngram_lm.word_grams(rows, spelling, "b"), model), "text_key").collect()
+    assert {r.text for r in got} == set(tests)
+    for r in got:
+        words = ["<"] * 2 + r.text.split()
+        want = -sum(np.log(p(tuple(words[i : i + 3]))) for i in range(len(words) - 2)) / len(r.text)
+        assert abs(r.score - want) < 1e-4
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/7x?q", "https://b.com/en/8", "http://m.example.net/de/8/1", "http://x.net/de/1#t", "http://badcom/en/1", "nothing", None, "http://h.org", "http://com/en/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
