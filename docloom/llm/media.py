@@ -145,36 +145,36 @@ def tensors(blocks: np.ndarray) -> bytes:
 
 
 def audio_features(docs: DataFrame) -> DataFrame:
-    """doc_id, media (the WAV file), tensors (an Arrow stream) and segments (time spans) of every row."""
+    """doc_id, n_bytes of the text, media (the WAV file), its frames, tensors (an Arrow stream) and segments (time spans) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in groups(batches):
-            media = [to_wav(payload_of(t)[0]) for t in texts]
+            payloads = [payload_of(t) for t in texts]
+            media = [to_wav(p) for p, _ in payloads]
             got = [analyse(from_wav(m)) for m in media]
             segments = [[{"begin_s": a, "end_s": b} for a, b in g[1]] for g in got]
             span = pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())])
-            yield record_batch({"doc_id": part.column(0), "media": media, "tensors": [tensors(g[0]) for g in got], "segments": segments}, {"doc_id": pa.int64(), "media": pa.binary(), "tensors": pa.binary(), "segments": pa.list_(span)})
+            yield record_batch({"doc_id": part.column(0), "n_bytes": [n for _, n in payloads], "media": media, "frames": [g[2] for g in got], "tensors": [tensors(g[0]) for g in got], "segments": segments}, {"doc_id": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary(), "frames": pa.int64(), "tensors": pa.binary(), "segments": pa.list_(span)})
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, media binary, tensors binary, segments array<struct<begin_s double, end_s double>>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, media binary, frames long, tensors binary, segments array<struct<begin_s double, end_s double>>")
 
 
 def audio_digests(docs: DataFrame) -> DataFrame:
-    """Sizes and digests of what audio_features stores; `feature` names frames, segments, the first of them, and a checksum of the quantised tensors."""
+    """Sizes and digests of the rows of audio_features, read back; `feature` names frames, segments, the first of them, and a checksum of the quantised tensors."""
     types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
-    def one(text: str) -> tuple:
-        payload, n = payload_of(text)
-        media = to_wav(payload)
+    def one(n: int, media: bytes, frames: int, stored: bytes, found: list[dict]) -> tuple:
         back = from_wav(media)
-        blocks, found, frames = analyse(back)
+        blocks = pa.ipc.open_stream(stored).read_all().column("mel").combine_chunks().to_numpy_ndarray()
         quantised = np.rint(blocks * 16).astype(np.int16)
-        first = "-".join(f"{x:.3f}" for x in found[0]) if found else "none"
-        feature = f"frames={frames};patches={len(blocks)};segments={len(found)};first={first};voiced={sum(b - a for a, b in found):.3f};mel={zlib.crc32(quantised.tobytes()):08x}"
+        first = "-".join(f"{found[0][k]:.3f}" for k in ("begin_s", "end_s")) if found else "none"
+        feature = f"frames={frames};patches={len(blocks)};segments={len(found)};first={first};voiced={sum(s['end_s'] - s['begin_s'] for s in found):.3f};mel={zlib.crc32(quantised.tobytes()):08x}"
         return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in groups(batches):
-            columns = zip(*map(one, texts), strict=True)
-            yield record_batch(dict(zip(types, [part.column(0), *columns], strict=True)), types)
+        for batch in batches:
+            rows = (batch.slice(i, 1) for i in range(batch.num_rows))
+            columns = zip(*(one(*(r.column(k)[0].as_py() for k in range(1, 6))) for r in rows), strict=True)
+            yield record_batch(dict(zip(types, [batch.column(0), *columns], strict=True)), types)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(audio_features(docs), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

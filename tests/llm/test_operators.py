@@ -169,6 +169,18 @@ def test_media_round_trip(docs, nothing):
     assert back.schema.field("mel").type.shape == [media.PATCH, media.MELS]
 
 
+def test_media_digests_are_of_the_stored_rows(docs, monkeypatch):
+    some, stored = docs.where("doc_id in (0, 8, 12)"), media.audio_features
+    monkeypatch.setattr(media, "audio_features", lambda d: stored(d.selectExpr("doc_id", "concat(text, '!') text")))
+    changed = {r.doc_id: r for r in media.audio_digests(some).collect()}
+    monkeypatch.undo()
+    plain = {r.doc_id: r for r in media.audio_digests(some).collect()}
+    assert changed[0].n_bytes == plain[0].n_bytes + 1 and changed[0].media_sha256 != plain[0].media_sha256 and changed[8] == plain[8]
+    for r in plain.values():
+        blocks, _, frames = media.analyse(media.payload_of(texts_of(docs)[r.doc_id] or "")[0])
+        assert f"frames={frames};" in r.feature and r.feature.endswith(f"mel={zlib.crc32(np.rint(blocks * 16).astype(np.int16).tobytes()):08x}")
+
+
 def test_byte_bpe_matches_the_library(docs, nothing):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
