@@ -121,19 +121,23 @@ def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def uses(drawn: DataFrame) -> DataFrame:
-    """Per (sid, block) the words taken by each of its slots."""
-    return drawn.groupBy("sid", "block").agg(F.sum(F.when(F.col("epoch") == 0, F.col("words")).otherwise(0)).alias("w0"), F.sum(F.when(F.col("epoch") == 1, F.col("words")).otherwise(0)).alias("w1"))
+    """Per (sid, block) the words taken by each of its slots, one an epoch, and the slot's shard."""
+    shard = lambda e: F.max(F.when(F.col("epoch") == e, F.col("shard"))).alias(f"s{e}")
+    return drawn.groupBy("sid", "block").agg(shard(0), shard(1), F.sum(F.when(F.col("epoch") == 0, F.col("words")).otherwise(0)).alias("w0"), F.sum(F.when(F.col("epoch") == 1, F.col("words")).otherwise(0)).alias("w1"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words of the document in the mix, repeats counted) of every row."""
+    """doc_id, size, source_size, target, taken (words of the document in the mix, repeats counted) and shards (the output shards these words go to, with their number) of every row."""
     sizes = scratch(sized(docs), "sizes")
     goals = scratch(targets(sizes), "goals")
     placed = scratch(streamed(sizes, goals), "placed")
     key = ["sid", "part", "row"]
-    share = lambda w: F.greatest(F.lit(0), F.least(F.col("to"), F.col(w)) - F.col("from"))
-    taken = pieces(placed, block).select(*key, "block", "from", "to").join(uses(slots(goals, block)), ["sid", "block"]).groupBy(*key).agg(F.sum(share("w0") + share("w1")).alias("taken"))
-    return placed.join(taken, key, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    use = lambda e: F.struct(F.col(f"s{e}").alias("shard"), F.greatest(F.lit(0), F.least(F.col("to"), F.col(f"w{e}")) - F.col("from")).cast("long").alias("words"))
+    met = pieces(placed, block).select(*key, "block", "from", "to").join(uses(slots(goals, block)), ["sid", "block"]).select(*key, F.explode(F.array(use(0), use(1))).alias("use"))
+    each = met.where("use.words > 0").groupBy(*key, "use.shard").agg(F.sum("use.words").alias("words"))
+    taken = each.groupBy(*key).agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards"))  # SHARDS at most
+    none = F.expr("cast(array() as array<struct<shard: int, words: bigint>>)")
+    return placed.join(taken, key, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -79,6 +79,20 @@ def test_mix_meets_targets(docs, nothing):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs, block=8).collect()))
 
 
+def test_mix_goes_to_the_shards_drawn(docs):
+    got, want = Counter(), Counter()
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    for r in mixing.mix(docs, block=8).collect():
+        assert sum(s.words for s in r.shards) == r.taken and len({s.shard for s in r.shards}) == len(r.shards)
+        for s in r.shards:
+            got[sources[r.doc_id], s.shard] += s.words
+    goals = mixing.targets(mixing.sized(docs))
+    names = {r.sid: r.source for r in goals.collect()}
+    for r in mixing.slots(goals, 8).collect():
+        want[names[r.sid], r.shard] += r.words
+    assert got == want and len({s for _, s in got}) > 20
+
+
 def test_permutations_are_bijections(spark):
     from pyspark.sql import functions as F
 
