@@ -13,6 +13,7 @@ are cut at spaces first, and what a word gives is kept in a bounded cache.
 
 Null texts count as empty: no tokens, the digest of no bytes. Repeated rows are
 encoded alike. Only doc_id and text are read, so other columns cannot clash.
+Texts and pieces of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import groups, keep, map_arrow, record_batch
 
-NONE = np.int32(1 << 30)
+NONE = np.int32(1 << 30)  # above rank * width + place at a width of LONG
+NO_PAIR = 1 << 62  # the same for pieces of any length
 LONG = 128
 CACHED_WORDS, CACHED_CHARS = 700_000, 8_000_000
 #: What the regex library or re may take for white space, twice.
@@ -68,7 +70,7 @@ class ByteBpe:
     def merge_long(self, piece: bytes) -> list[int]:
         n = len(piece)
         width = 1 << max(1, (n - 1).bit_length())
-        ids, pairs, none = [int(self.byte_ids[b]) for b in piece], self.pairs, int(NONE)
+        ids, pairs, none = [int(self.byte_ids[b]) for b in piece], self.pairs, NO_PAIR
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [none] * (2 * width)
         for i in range(n - 1):
