@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -22,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set."""
+    """The shared folder of the cluster; a temporary one only in local mode, where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="docloom-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -37,6 +43,13 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver was started."""
     env = spark.sparkContext.environment
@@ -65,7 +78,7 @@ def release() -> None:
         pa.default_memory_pool().release_unused()
 
 
-def map_arrow(df: DataFrame, fn, schema: str, keeps: bool = False) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: str | T.StructType, keeps: bool = False) -> DataFrame:
     """mapInArrow; unless fn keeps something itself, its tasks first drop what another operator left in the worker."""
     workers_import(df.sparkSession)
 
@@ -78,10 +91,10 @@ def map_arrow(df: DataFrame, fn, schema: str, keeps: bool = False) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def groups(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about `limit` bytes of text each (one row at least), null texts as empty."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column))
+        texts = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column))
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         begin = held = 0
         for i, size in enumerate(sizes):

@@ -1,26 +1,30 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model runs over words (runs without white space, hashed to 64 bits), order
-WORDS. Word n-grams of the trusted texts (labelled quality 1 and not toxic) stay
-in tables that grow with the text, and lower orders count in how many contexts
-their n-gram continues. Documents are scored by joins sharded on the n-gram: the
-distinct n-grams of each document meet the table of the highest order, and those
-not found go on to the next with the weight that their context leaves. Words
-never seen are spelled by a model of the same kind over characters, mapped to 64
-symbols (a-z, one for capitals, and classes of digits, spaces, marks and letters
-beyond ASCII), order ORDER; that one can hold no more than 64**4 entries and is
-broadcast. Discounts for counts 1, 2 and 3+ come from the counts of counts, as
-Chen and Goodman give them.
-
-A document's score is the negative log probability of its words, per symbol (the
-log of its perplexity); its letter score is the same for its characters alone,
-which tells a repeated word or odd capitals that words of a known kind hide. Every HOLD-th trusted document, by a hash of doc_id, is
+The model runs over the UTF-16 units of a text, each as it is, in n-grams of
+ORDER, begun by ORDER - 1 zeros. An n-gram is one long of 16 bits a unit, so its
+context and its lower orders are shifts and masks of it. The n-grams of the
+trusted texts (labelled quality 1 and not toxic), their counts and what their
+contexts leave to lower orders are tables, one a order, which grow with the
+text; lower orders count in how many contexts their n-gram continues. Discounts
+for counts 1, 2 and 3+ come from the counts of counts, as Chen and Goodman give
+them; below order 1 all units are as likely.
+
+Texts are not shuffled row by row. They are packed once into compressed bundles
+of about BUNDLE bytes, a table bucketed by the bundle's number; labels meet
+it by number and place. For scoring, the distinct n-grams of each bundle are
+joined, sharded by n-gram, with their costs (which come from joins of the
+corpus's distinct n-grams with the tables of all orders), and the costs go back
+to their bundle, in the same buckets. There each text's costs are summed.
+
+A document's score is the negative log probability of its units, per unit (the
+log of its perplexity). Every HOLD-th trusted document, by a hash of doc_id, is
 left out of the counts, as texts that were counted score too well; a document is
-kept if each of its scores is at most the QUANTILE of theirs in its language, or
-of all of them where a language has fewer than LEAST. Texts that are null, empty or have
-no words have no score and are not kept; null is a language of its own. Without
-trusted text nothing is rejected but such texts. Repeated rows are judged alike.
-Labels that repeat a doc_id count once; a label that is null does not count.
+kept if its score is at most the QUANTILE of theirs in its language, or of all of
+them where a language has fewer than LEAST, and MARGIN more, as few documents
+tell a high quantile only roughly. Texts that are null or empty have no score
+and are not kept; null is a language of its own. Without trusted text nothing
+is rejected but such texts. Equal texts of a language are judged alike. Labels
+that repeat a doc_id count once; a label that is null does not count.
 """
 
 from __future__ import annotations
@@ -30,67 +34,148 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.llm.common import groups, keep, map_arrow, record_batch, scratch
-from docloom.llm.textbytes import mix, word_hashes, word_spans
-
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-START = SYMBOLS - 1
-WORDS, HOLD = 3, 5
-QUANTILE, MARGIN, LEAST = 0.995, 0.0, 50
-
-
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point below 128: 0-25 letters, 26 capitals, 27 space, 28 other space, 29 digits, 30-37 marks."""
-    out = np.full(128, 37, np.int32)
-    out[97:123] = np.arange(26)
-    out[65:91] = 26
-    out[32] = 27
-    out[9:14] = 28
-    out[48:58] = 29
-    for symbol, marks in enumerate((".", ",", ";:", "!?", "\"'()-", "[]{}|<>", "#*$%&@_+=~^"), 30):
-        out[[ord(c) for c in marks]] = symbol
-    return out
+from docloom.llm.common import groups, map_arrow, record_batch, remove, scratch, scratch_dir
 
+ORDER, BITS = 4, 16
+UNITS = 1 << BITS
+HOLD = 5
+QUANTILE, MARGIN, LEAST = 0.995, 0.05, 50
+BUNDLE = 12 << 20
+HELD_GRAMS = 4_000_000
+SLOTS = 20
 
-TABLE = symbol_table()
 
+# --- n-grams of texts ---------------------------------------------------------
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams that end at each unit of the texts, and where each text's begin and end."""
+    lead = "\0" * (ORDER - 1)
+    raw = (lead + lead.join(t.replace("\0", "\1") for t in texts) + lead).encode("utf-16-le", "surrogatepass")
+    units = np.frombuffer(raw, np.uint16).astype(np.uint64)
+    n = len(units) - ORDER + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(ORDER):
+        out <<= np.uint64(BITS)
+        out |= units[k : k + n]
+    lengths = np.array([len(t) if t.isascii() else len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in texts])
+    begin = np.cumsum(lengths + ORDER - 1) - lengths - ORDER + 1
+    return out, begin, begin + lengths
+
+
+def inside(found: np.ndarray) -> np.ndarray:
+    """Those n-grams that end in a unit of a text, not in a zero before one."""
+    return found[(found & np.uint64(UNITS - 1)) != 0]
+
+
+class Costs:
+    """Cost by n-gram: a table with a slot for most, binary search for those whose slot another has."""
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.costs = keys[order], costs[order].astype(np.float64)
+        self.slot = np.zeros(1 << SLOTS, np.int32)
+        self.slot[self.place(self.keys)] = np.arange(len(keys))
+
+    @staticmethod
+    def place(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.intp)
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        at = self.slot.take(self.place(found))
+        other = np.flatnonzero(self.keys.take(at) != found)
+        at[other] = np.minimum(np.searchsorted(self.keys, found[other]), len(self.keys) - 1)
+        return self.costs.take(at)
 
-def symbols(text: str) -> np.ndarray:
-    """START three times, then the symbols of the text; letters beyond ASCII share 24 classes."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
-    out = np.full(len(points) + ORDER - 1, START, np.int32)
-    plain = points < 128
-    out[ORDER - 1 :] = np.where(plain, TABLE[np.where(plain, points, 0)], 38 + points % 24)
-    return out
 
+# --- bundles ------------------------------------------------------------------
+def rows_of(stored: bytes) -> Iterator[pa.RecordBatch]:
+    return iter(pa.ipc.open_stream(stored))
 
-def grams(text: str) -> np.ndarray:
-    s = symbols(text)
-    return s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:]
 
+def bundled(rows: DataFrame, fields: list[str]) -> tuple[str, str]:
+    """Rows packed into a bucketed table: bundle (a number), stored (rows as a compressed Arrow stream), ids (of doc_id, in order) and grams (distinct n-grams); and the table's name and path."""
+    text_at, id_at = fields.index("text"), fields.index("doc_id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"bundle": pa.int64(), "stored": pa.binary(), "ids": pa.list_(pa.int64()), "grams": pa.list_(pa.int64())}
+        task, number = TaskContext.get().partitionId(), 0
+        held, size, seen = [], 0, np.empty(0, np.uint64)
+
+        def emit() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            ids = np.concatenate([pc.cast(p.column(id_at), pa.int64()).to_pylist() for p in held])
+            return record_batch({"bundle": [task << 32 | number], "stored": [sink.getvalue().to_pybytes()], "ids": [ids.tolist()], "grams": [seen.view(np.int64)]}, types)
+
+        for part, texts in groups((pa.RecordBatch.from_struct_array(b.column(0)) for b in batches), text_at):
+            seen = np.union1d(seen, inside(grams(texts)[0]))
+            held.append(part)
+            size += sum(map(len, texts))
+            if size >= BUNDLE:
+                yield emit()
+                number += 1
+                held, size, seen = [], 0, np.empty(0, np.uint64)
+        if held:
+            yield emit()
+
+    spark = rows.sparkSession
+    name, path = f"docloom_bundles_{uuid.uuid4().hex}", f"{scratch_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    packed = map_arrow(rows, run, "bundle long, stored binary, ids array<long>, grams array<long>")
+    packed.write.option("path", path).bucketBy(buckets, "bundle").saveAsTable(name, format="parquet")
+    return name, path
+
+
+def beside(bundles: DataFrame, facts: DataFrame) -> DataFrame:
+    """stored with facts on their bundle. The bundles stay where they are: only the facts are shuffled, to their buckets."""
+    return bundles.select("bundle", "stored").join(facts.hint("shuffle_hash"), "bundle").drop("bundle")
+
+
+# --- model -----------------------------------------------------------------------
 def trusted(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """gram and n: the 4-grams of all texts, summed in each task before they are shuffled."""
+def left_out() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(HOLD)) == 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(SYMBOLS**ORDER, np.int32)
-        for _, texts in groups(batches, limit=1 << 19):
-            found, times = np.unique(np.concatenate([grams(t) for t in texts]), return_counts=True)
-            held[found] += times.astype(np.int32)
-        found = np.flatnonzero(held)
-        for at in range(0, len(found), 100_000):
-            part = found[at : at + 100_000]
-            yield record_batch({"gram": part, "n": held[part].astype(np.int64)}, {"gram": pa.int64(), "n": pa.int64()})
 
-    return map_arrow(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def gram_counts(bundles: DataFrame, good: DataFrame, text_at: int) -> DataFrame:
+    """gram and n, over the texts whose doc_id is in good; summed in each task before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"gram": pa.int64(), "n": pa.int64()}
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 100_000):
+                yield record_batch({"gram": keys[at : at + 100_000].view(np.int64), "n": counts[at : at + 100_000]}, types)
+
+        for batch in batches:
+            for stored, places in zip(batch.column(0), batch.column(1), strict=True):
+                wanted, at = set(places.as_py()), 0
+                for part in rows_of(stored.as_py()):
+                    texts = [t for i, t in enumerate(part.column(text_at).to_pylist(), at) if i in wanted and t]
+                    at += part.num_rows
+                    if texts:
+                        found, times = np.unique(inside(grams(texts)[0]), return_counts=True)
+                        both = np.concatenate([keys, found])
+                        keys, where = np.unique(both, return_inverse=True)
+                        counts = np.bincount(where, np.concatenate([counts, times]), len(keys)).astype(np.int64)
+                if len(keys) > HELD_GRAMS:
+                    yield from emit()
+                    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        yield from emit()
+
+    places = bundles.select("bundle", F.posexplode("ids").alias("place", "doc_id")).join(good, "doc_id", "left_semi").groupBy("bundle").agg(F.collect_list("place").alias("places"))
+    return map_arrow(beside(bundles, places), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -107,170 +192,106 @@ def discounted(d: tuple[float, float, float]) -> Column:
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
-def model(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1: sorted n-grams, their probabilities, sorted contexts, and the weight each leaves to the lower order."""
+def lower(gram: str, order: int) -> Column:
+    """The last `order` units of an n-gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << BITS * order) - 1))
+
+
+def context(gram: str, order: int) -> Column:
+    """All units but the last of an n-gram of this order."""
+    return F.shiftrightunsigned(gram if order == ORDER else lower(gram, order), BITS)
+
+
+def model(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: n-grams (g) with p, and contexts (c) with the weight that each leaves to the lower order."""
     tables = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):  # in how many contexts an n-gram continues
-        tables[order] = scratch(tables[order + 1].groupBy((F.col("gram") % (1 << BITS * order)).alias("gram")).agg(F.count("*").alias("n")), f"order{order}")
-    out, lower = [], None
+        tables[order] = scratch(tables[order + 1].groupBy(lower("gram", order).alias("gram")).agg(F.count("*").alias("n")), f"order{order}")
+    out = []
     for order in range(1, ORDER + 1):
         d = discounts(tables[order])
-        grams_of = tables[order].withColumn("context", F.shiftright("gram", BITS))
-        totals = grams_of.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discounted(d)).alias("left"))
-        joined = grams_of.join(totals, "context").withColumn("own", (F.col("n") - discounted(d)) / F.col("total")).withColumn("weight", F.col("left") / F.col("total"))
-        if lower is None:
-            full = joined.withColumn("p", F.col("own") + F.col("weight") / SYMBOLS)
+        known = tables[order].withColumn("c", context("gram", order))
+        totals = known.groupBy("c").agg(F.sum("n").alias("total"), F.sum(discounted(d)).alias("left"))
+        contexts = scratch(totals.select("c", (F.col("left") / F.col("total")).alias("weight"), "total"), f"contexts{order}")
+        own = (F.col("n") - discounted(d)) / F.col("total")
+        full = known.join(contexts, "c")
+        if order == 1:
+            full = full.withColumn("q", F.lit(1 / UNITS))
         else:
-            below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            full = joined.withColumn("suffix", F.col("gram") % (1 << BITS * (order - 1))).join(below, "suffix").withColumn("p", F.col("own") + F.col("weight") * F.col("q"))
-        lower = scratch(full.select("gram", "p"), f"p{order}")
-        seen, weights = lower.toArrow(), totals.select("context", (F.col("left") / F.col("total")).alias("w")).toArrow()  # SYMBOLS ** order rows at most
-        arrays = [t.column(i).to_numpy() for t in (seen, weights) for i in (0, 1)]
-        a, b = np.argsort(arrays[0]), np.argsort(arrays[2])
-        out.append((arrays[0][a].astype(np.int32), arrays[1][a].astype(np.float32), arrays[2][b].astype(np.int32), arrays[3][b].astype(np.float32)))
+            full = full.withColumn("g", lower("gram", order - 1)).join(out[-1][0].withColumnRenamed("p", "q"), "g").drop("g")
+        p = scratch(full.select(F.col("gram").alias("g"), (own + F.col("weight") * F.col("q")).alias("p")), f"p{order}")
+        out.append((p, contexts.select("c", "weight")))
     return out
 
 
-def dense(orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Negative log probability of every possible 4-gram: of seen ones as they are, of others by what their contexts leave to lower orders."""
-    table = np.empty(0, np.float32)
-    for k, (seen, p, contexts, left) in enumerate(orders):
-        weight = np.ones(SYMBOLS**k, np.float32)
-        weight[contexts] = left
-        if k:  # a gram is its oldest symbol, the rest of the context, and the symbol that the context foretells
-            table = (weight.reshape(SYMBOLS, -1)[:, :, None] * table.reshape(-1, SYMBOLS)[None, :, :]).ravel()
-        else:
-            table = np.full(SYMBOLS, weight[0] / SYMBOLS, np.float32)
-        table[seen] = p
-    return -np.log(table)
-
-
-def spelled(words: list[str], table: np.ndarray) -> np.ndarray:
-    """Negative log probability of each word's symbols and the space after it."""
-    s = symbols("".join("\0\0\0" + w + " " for w in words))[ORDER - 1 :]
-    begin = np.cumsum([0] + [len(w) + ORDER for w in words])[:-1]
-    lead = (begin[:, None] + np.arange(ORDER - 1)).ravel()
-    s[lead] = START
-    cost = np.zeros(len(s), np.float64)
-    cost[ORDER - 1 :] = table.take(s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:])
-    cost[lead] = 0
-    return np.add.reduceat(cost, begin)
-
-
-def combined(of: list[np.ndarray]) -> np.ndarray:
-    """Hashes of n-grams from those of their words, oldest first."""
-    out = np.full(len(of[0]), len(of), np.uint64)
-    for x in of:
-        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + x)
-    return out.view(np.int64)
-
-
-GRAMS = [f"g{k}" for k in range(1, WORDS + 1)]  # gk: the last k words
-CONTEXTS = [f"c{k}" for k in range(2, WORDS + 1)]  # ck: the last k words but the last
+def costs(asked: DataFrame, orders: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram and cost (negative log probability) of distinct n-grams, seen or not."""
+    found, p = asked, F.lit(1 / UNITS)
+    for order in range(ORDER, 0, -1):
+        seen, contexts = orders[order - 1]
+        small = (lambda t: F.broadcast(t)) if order == 1 else (lambda t: t)  # UNITS rows at most
+        found = found.withColumn("g", F.col("gram") if order == ORDER else lower("gram", order)).join(small(seen), "g", "left").drop("g").withColumnRenamed("p", f"p{order}")
+        small = (lambda t: F.broadcast(t)) if order <= 2 else (lambda t: t)
+        found = found.withColumn("c", context("gram", order)).join(small(contexts), "c", "left").drop("c").withColumnRenamed("weight", f"w{order}")
+    for order in range(1, ORDER + 1):
+        p = F.coalesce(f"p{order}", F.coalesce(f"w{order}", F.lit(1.0)) * p)
+    return found.select("gram", (-F.log(p)).cast("float").alias("cost"))
 
 
-def word_grams(docs: DataFrame, orders: list, key: str) -> DataFrame:
-    """For each text (by `text_key`) its distinct n-grams of all orders, how often they stand in it, and the last word's cost of spelling; n_symbols and the cost of its characters on one of its rows."""
-    sent = docs.sparkSession.sparkContext.broadcast(orders)
-    types = {"text_key": pa.int64(), "n_symbols": pa.int64(), "letters": pa.float64(), "n": pa.int64(), "spell": pa.float32()} | dict.fromkeys(GRAMS + CONTEXTS, pa.int64())
+# --- scores ------------------------------------------------------------------------
+def scored(bundles: DataFrame, orders: list[tuple[DataFrame, DataFrame]], row: T.StructType, text_at: int) -> DataFrame:
+    """row, n_symbols and score of every row packed."""
+    pairs = bundles.select("bundle", F.explode("grams").alias("gram"))
+    priced = scratch(costs(pairs.select("gram").distinct(), orders), "costs")
+    sheets = pairs.join(priced.hint("shuffle_hash"), "gram").groupBy("bundle").agg(F.collect_list("gram").alias("grams"), F.collect_list("cost").alias("costs"))
+    all_sheets = bundles.select("bundle").where(F.size("grams") == 0).withColumn("grams", F.expr("cast(array() as array<long>)")).withColumn("costs", F.expr("cast(array() as array<float>)")).unionByName(sheets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = keep(("lm", key), lambda: dense(sent.value))
-        for part, texts in groups(batches):
-            out = {k: [] for k in types}
-            raws = [t.encode() for t in texts]
-            spans = [word_spans(np.frombuffer(r, np.uint8)) for r in raws]
-            hashes = [word_hashes(np.frombuffer(r, np.uint8), *s) for r, s in zip(raws, spans, strict=True)]
-            known, at = np.unique(np.concatenate(hashes), return_index=True)
-            if not len(known):
-                continue
-            owner = np.repeat(np.arange(len(raws)), [len(h) for h in hashes])[at]
-            a, b = (np.concatenate([s[k] for s in spans])[at].tolist() for k in (0, 1))
-            costs = spelled([raws[o][i:j].decode("utf-8", "replace") for o, i, j in zip(owner.tolist(), a, b, strict=True)], table)
-            for text_key, text, own in zip(part.column(0).to_pylist(), texts, hashes, strict=True):
-                if not len(own):
-                    continue
-                padded = np.concatenate([np.zeros(WORDS - 1, np.uint64), own])
-                last = [padded[WORDS - 1 - k : len(padded) - k] for k in range(WORDS)]  # the last word, the one before, ...
-                top, first, n = np.unique(combined(last[::-1]), return_index=True, return_counts=True)
-                last = [x[first] for x in last]
-                row = {"text_key": np.full(len(top), text_key), "n_symbols": np.zeros(len(top), np.int64), "letters": np.zeros(len(top)), "n": n, "spell": costs[np.searchsorted(known, last[0])].astype(np.float32), GRAMS[-1]: top}
-                row["n_symbols"][0], row["letters"][0] = len(text), table.take(grams(text)).sum(dtype=np.float64)
-                row |= {f"g{k}": combined(last[:k][::-1]) for k in range(1, WORDS)} | {f"c{k}": combined(last[1:k][::-1]) for k in range(2, WORDS + 1)}
-                for k in types:
-                    out[k].append(row[k])
-            if out["n"]:
-                yield record_batch({k: np.concatenate(v) for k, v in out.items()}, types)
-
-    source = docs.select(text_key(), "text").where("text is not null")
-    return map_arrow(source, run, "text_key long, n_symbols long, letters double, n long, spell float, " + ", ".join(f"{c} long" for c in GRAMS + CONTEXTS), keeps=True)
-
-
-def text_key() -> Column:
-    return F.xxhash64(F.col("text").cast("string")).alias("text_key")
-
-
-def word_model(found: DataFrame) -> list[tuple[DataFrame, DataFrame | None, float]]:
-    """For each order from 1: n-grams with p, contexts with weight (None for order 1), and the weight where no context is known."""
-    now = scratch(found.groupBy(*GRAMS, *CONTEXTS).agg(F.sum("n").alias("n"), F.max("spell").alias("spell")), f"words{WORDS}")
-    tables = {WORDS: now}
-    for order in range(WORDS - 1, 0, -1):
-        now = scratch(now.groupBy(*GRAMS[:order], *CONTEXTS[: order - 1]).agg(F.count("*").alias("n"), F.max("spell").alias("spell")), f"words{order}")
-        tables[order] = now
-    out, lower = [], None
-    for order in range(1, WORDS + 1):
-        d = discounts(tables[order])
-        own = (F.col("n") - discounted(d)) / F.col("total")
-        sums = F.sum("n").alias("total"), F.sum(discounted(d)).alias("left")
-        if order == 1:
-            total, left = tables[1].agg(*sums).first()
-            contexts, weight = None, left / total if total else 1.0
-            full = tables[1].withColumn("total", F.lit(float(total or 1))).withColumn("p", own + weight * F.exp(-F.col("spell")))
-        else:
-            totals = tables[order].groupBy(f"c{order}").agg(*sums).withColumn("weight", F.col("left") / F.col("total"))
-            contexts, weight = scratch(totals.select(f"c{order}", "weight"), f"contexts{order}"), 1.0
-            full = tables[order].join(totals, f"c{order}").join(lower.withColumnRenamed("p", "q"), f"g{order - 1}").withColumn("p", own + F.col("weight") * F.col("q"))
-        lower = scratch(full.select(f"g{order}", "p"), f"wordp{order}")
-        out.append((lower, contexts, weight))
-    return out
-
-
-def scored(found: DataFrame, orders: list[tuple[DataFrame, DataFrame | None, float]]) -> DataFrame:
-    """text_key, score and letter_score of every text that has words."""
-    todo, sums = found.withColumn("cost", F.lit(0.0)), None
-    for order in range(WORDS, 0, -1):
-        table, contexts, weight = orders[order - 1]
-        met = scratch(todo.join(table, f"g{order}", "left").drop(f"g{order}"), f"met{order}")
-        rest = met.where("p is null").drop("p")
-        if contexts is not None:
-            todo = rest.join(contexts, f"c{order}", "left").withColumn("cost", F.col("cost") - F.log(F.coalesce("weight", F.lit(1.0)))).drop(f"c{order}", "weight")
-        else:
-            todo = rest.withColumn("cost", F.col("cost") + F.col("spell") - float(np.log(weight)))
-        done = met.where("p is not null").select("text_key", "n_symbols", "letters", "n", (F.col("cost") - F.log("p")).alias("cost"))
-        sums = done if sums is None else sums.unionByName(done)
-    sums = sums.unionByName(todo.select("text_key", "n_symbols", "letters", "n", "cost"))
-    return sums.groupBy("text_key").agg((F.sum(F.col("cost") * F.col("n")) / F.sum("n_symbols")).alias("score"), (F.sum("letters") / F.sum("n_symbols")).alias("letter_score"))  # copies of a text add to all sums
-
-
-def lm_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, score, perplexity, threshold (on the score), kept, and letter_score with its threshold, of every row."""
-    good = trusted(labels)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(good, "doc_id", "left_semi")
-    left_out = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(HOLD)) == 0
-    texts = texts.where(~left_out)
-    spelling, key = model(scratch(gram_counts(texts), "grams")), uuid.uuid4().hex
-    scores = scratch(scored(word_grams(docs, spelling, key), word_model(word_grams(texts, spelling, key))), "scores")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols"), text_key())
-    scores = scratch(rows.join(scores, "text_key", "left").drop("text_key"), "rows")
-    own = scores.where("score is not null").join(good.where(left_out), "doc_id", "left_semi")
-    quantiles = [F.percentile_approx(c, QUANTILE, 10_000).alias(q) for c, q in (("score", "q"), ("letter_score", "letter_q"))]
-    per_lang = own.groupBy("lang").agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= LEAST).select(F.col("lang").alias("of"), "q", "letter_q")
-    overall = own.agg(*quantiles).first()
-    limit = lambda q: F.coalesce(q, F.lit(overall[q]).cast("double"), F.lit(float("inf"))) + MARGIN
-    return (
-        scores.join(per_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
-        .withColumn("threshold", limit("q"))
-        .withColumn("letter_threshold", limit("letter_q"))
-        .withColumn("kept", F.coalesce((F.col("score") <= F.col("threshold")) & (F.col("letter_score") <= F.col("letter_threshold")), F.lit(False)))
-        .select("doc_id", "lang", "n_symbols", "score", F.exp("score").alias("perplexity"), "threshold", "kept", "letter_score", "letter_threshold")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, values = (batch.column(k)[i].values.to_numpy() for k in (1, 2))
+                table = Costs(keys.view(np.uint64), values) if len(keys) else None
+                for part in rows_of(batch.column(0)[i].as_py()):
+                    found, begin, end = grams([t or "" for t in part.column(text_at).to_pylist()])
+                    if table is None:
+                        sums = np.zeros(part.num_rows)
+                    else:
+                        own = (found & np.uint64(UNITS - 1)) != 0
+                        cost = np.zeros(len(found) + 1)
+                        cost[1:][own] = table.of(found[own])
+                        total = np.cumsum(cost)
+                        sums = total[end] - total[begin]
+                    n = end - begin
+                    score = pa.array(sums / np.maximum(n, 1), mask=n == 0)
+                    yield pa.RecordBatch.from_arrays([part.to_struct_array(), pa.array(n, pa.int64()), score], names=["row", "n_symbols", "score"])
+
+    out = T.StructType([T.StructField("row", row), T.StructField("n_symbols", T.LongType()), T.StructField("score", T.DoubleType())])
+    return map_arrow(beside(bundles, all_sheets), run, out)
+
+
+def lm_quality(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, lang, n_symbols, score, perplexity, threshold (on the score) and kept of every row; with carry, all columns of docs as `row` instead of doc_id and lang."""
+    spark = docs.sparkSession
+    rows = docs.select(F.struct("*").alias("row")) if carry else docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").alias("row"))
+    struct = rows.schema["row"].dataType
+    text_at = struct.fieldNames().index("text")
+    good = scratch(trusted(labels), "trusted")
+    name, path = bundled(rows, struct.fieldNames())
+    bundles = spark.table(name)
+    orders = model(scratch(gram_counts(bundles, good.where(~left_out()), text_at), "grams"))
+    scores = scratch(scored(bundles, orders, struct, text_at).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.lang").cast("string").alias("lang"), "n_symbols", "score"), "scores")
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path)
+
+    own = scores.where("score is not null").select("doc_id", "lang", "score").join(good.where(left_out()), "doc_id", "left_semi")
+    quantile = F.percentile_approx("score", QUANTILE, 10_000).alias("q")
+    per_lang = own.groupBy("lang").agg(F.count("*").alias("n"), quantile).where(F.col("n") >= LEAST).select(F.col("lang").alias("of"), "q")
+    overall = own.agg(quantile).first()["q"]
+    limit = F.coalesce("q", F.lit(overall).cast("double"), F.lit(float("inf"))) + MARGIN
+    judged = (
+        scores.join(F.broadcast(per_lang), F.col("lang").eqNullSafe(F.col("of")), "left")  # a row for each language
+        .withColumn("threshold", limit)
+        .withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(False)))
     )
+    first = ["row"] if carry else ["doc_id", "lang"]
+    return judged.select(*first, "n_symbols", "score", F.exp("score").alias("perplexity"), "threshold", "kept")

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.common import groups, map_arrow, record_batch
 from docloom.llm.textbytes import is_space, mix, runs, word_hashes, word_spans
@@ -291,5 +292,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[first, *types])
 
-    kind = source.schema["row"].dataType.simpleString() if carry else "long"
-    return map_arrow(source, run, f"{first} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, p_good double, kept boolean")
+    rest = T._parse_datatype_string("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, p_good double, kept boolean")
+    return map_arrow(source, run, T.StructType([source.schema[first], *rest]))

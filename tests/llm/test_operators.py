@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 
 from docloom.llm import byte_bpe, html_extract, media, mixing, near_dedup, ngram_lm, quality_rules, sharding, token_counts, url_filter
 
@@ -208,6 +209,19 @@ def test_byte_bpe_matches_the_library(docs, nothing):
     assert byte_bpe.byte_bpe(nothing, path, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("size", [128, 129, 16_384, 16_385, 65_537, 200_000])
+def test_long_pieces_match_the_library(size):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library, own = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.ByteBpe(path, P.PATTERN)
+    known = [t.decode() for t in ranks if t.isalpha() and t.isascii()]
+    letters = "".join(known[k * 7919 % len(known)] for k in range(size // 2))[:size]
+    for text in (letters, "".join(chr(0x4E00 + k * 7919 % 5000) for k in range(size // 3 + 1)), ("!?#=-*" * size)[:size], " " * size):
+        ids = own.encode(text)
+        assert ids == library.encode(text, disallowed_special=()) and own.decode(ids).decode() == text
+
+
 def test_main_text(spark):
     page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><header>Menu</header><nav><a href=/>Home</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; tail</h1><p>First  one<br>line.<p>Short.<div class=comments><p>Nice!</p></div><aside>See</aside><form>Go</form></article><footer>&copy;</footer></body></html>"
     rows = html_extract.extract_text(spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", "")], "page_id long, url string, html string")).collect()
@@ -215,54 +229,74 @@ def test_main_text(spark):
 
 
 def test_language_model(docs, nothing, spark):
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(22, 80)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 79)] + [(20, 1, 0), (3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = {r.doc_id: r for r in ngram_lm.lm_quality(docs, labels).collect()}
-    assert len(rows) == len(texts_of(docs)) and not rows[8].kept and rows[8].score is None
-    assert rows[30].kept and not rows[19].kept
+    assert len(rows) == docs.distinct().count() and rows[8].score is None and not rows[8].kept and not rows[9].kept
+    assert rows[0].score == rows[1].score and rows[60].kept
     assert ngram_lm.lm_quality(nothing, labels).count() == 0
-
-
-def test_language_model_probabilities_sum_to_one(docs):
-    table = np.exp(-ngram_lm.dense(ngram_lm.model(ngram_lm.gram_counts(docs.where("text is not null")))).astype(np.float64))
-    assert np.allclose(table.reshape(-1, ngram_lm.SYMBOLS).sum(1), 1, atol=1e-3)
-
-
-def test_word_model_matches_plain_counts(spark):
-    rng = np.random.default_rng(3)
-    texts = [" ".join(rng.choice(list("abcdefg"), int(n))) for n in rng.integers(1, 25, 60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    spelling = ngram_lm.model(ngram_lm.gram_counts(docs))
-    table = ngram_lm.dense(spelling)
-    counts = Counter(tuple((["<"] * 2 + t.split())[i : i + 3]) for t in texts[:40] for i in range(len(t.split())))
-    tables, d = {3: counts}, {}
-    for k in (2, 1):
-        tables[k] = Counter(g[1:] for g in tables[k + 1])
-    for k, c in tables.items():
-        n = [sum(v == m for v in c.values()) for m in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if all(n[:3]) else 0
-        d[k] = [min(max(m - (m + 1) * y * n[m] / n[m - 1], 0.05), m - 0.05) for m in (1, 2, 3)] if y else [0.5, 1.0, 1.5]
-
-    def p(g):
-        if not g:
-            return None
-        k = len(g)
-        low = p(g[1:]) if k > 1 else float(np.exp(-ngram_lm.spelled([g[0]], table)[0]))
-        of = {x: v for x, v in tables[k].items() if x[:-1] == g[:-1]}
-        if not of:
-            return low
-        cut = lambda v: d[k][min(v, 3) - 1]
-        own = (of[g] - cut(of[g])) if g in of else 0
-        return (own + sum(map(cut, of.values())) * low) / sum(of.values())
-
-    model = ngram_lm.word_model(ngram_lm.word_grams(docs.where("doc_id < 40"), spelling, "a"))
-    tests = [*texts, "zz a b zz", "a a a a a a a"]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tests)], "doc_id long, text string")
-    got = rows.select("text", ngram_lm.text_key()).join(ngram_lm.scored(ngram_lm.word_grams(rows, spelling, "b"), model), "text_key").collect()
-    assert {r.text for r in got} == set(tests)
-    for r in got:
-        words = ["<"] * 2 + r.text.split()
-        want = -sum(np.log(p(tuple(words[i : i + 3]))) for i in range(len(words) - 2)) / len(r.text)
-        assert abs(r.score - want) < 1e-4
+    untrained = {r.doc_id: r.kept for r in ngram_lm.lm_quality(docs, labels.limit(0)).collect()}
+    assert all(kept == bool(text) for text, kept in zip(odd_texts(), (untrained[i] for i in range(len(odd_texts()))), strict=True))
+
+
+def test_language_model_carries_rows(docs, spark):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 79)], "doc_id long, quality int, toxic int")
+    rows = docs.unionByName(docs.limit(2).selectExpr("cast(null as long) as doc_id", *[f"`{c}`" for c in docs.columns[1:]]))
+    carried = ngram_lm.lm_quality(rows, labels, carry=True).select("row.*")
+    assert carried.columns == docs.columns
+    assert Counter(carried.collect()) == Counter(rows.collect())
+
+
+def plain_model(texts, order=ngram_lm.ORDER):
+    """Probability of a unit after others, by Chen and Goodman's formulas over plain counters."""
+    counts = {order: Counter()}
+    for text in texts:
+        units = [0] * (order - 1) + units_of(text)
+        counts[order].update(tuple(units[i : i + order]) for i in range(len(units) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    known = {}
+    for k, own in counts.items():
+        n1, n2, n3, n4 = (sum(1 for n in own.values() if n == i) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 and n3 else None
+        d = (0.5, 1.0, 1.5) if y is None else [min(max(x, 0.05), i - 0.05) for i, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
+        total, left = Counter(), Counter()
+        for g, n in own.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3) - 1]
+        known[k] = own, d, total, left
+
+    def p(gram):
+        if not gram:
+            return 1 / ngram_lm.UNITS
+        own, d, total, left = known[len(gram)]
+        n, c = own.get(gram, 0), gram[:-1]
+        if c not in total:
+            return p(gram[1:])
+        return ((n - d[min(n, 3) - 1]) if n else 0) / total[c] + left[c] / total[c] * p(gram[1:])
+
+    return p
+
+
+def units_of(text):
+    return np.frombuffer(text.replace("\0", "\1").encode("utf-16-le"), np.uint16).tolist()
+
+
+def test_language_model_matches_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "BUNDLE", 700)
+    texts = [t for t in odd_texts() if t] + ["née \0 漢字 \U0001f600", "zzz qqq"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8, len(texts), 2)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id for r in labels.where(ngram_lm.left_out()).collect()}
+    p = plain_model([texts[i] for i in range(8, len(texts), 2) if i not in out])
+    got = {r.doc_id: r for r in ngram_lm.lm_quality(rows, labels).collect()}
+    for i, text in enumerate(texts):
+        units = [0] * (ngram_lm.ORDER - 1) + units_of(text)
+        grams = [tuple(units[k : k + ngram_lm.ORDER]) for k in range(len(units) - ngram_lm.ORDER + 1)]
+        assert got[i].score == pytest.approx(-sum(np.log(p(g)) for g in grams) / len(grams), rel=1e-5)
+    held = sorted(got[i].score for i in out)
+    limit = held[int(np.ceil(ngram_lm.QUANTILE * len(held))) - 1] + ngram_lm.MARGIN
+    assert all(r.threshold == pytest.approx(limit) and r.kept == (r.score <= limit) for r in got.values())
+    assert sum(p((*units_of("the"), u)) for u in range(ngram_lm.UNITS)) == pytest.approx(1)
 
 
 def test_url_rules(spark):
