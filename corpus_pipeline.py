@@ -23,7 +23,7 @@ def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_rows(docs, lm_quality(docs, table(spark, sf_dir, "labels")))
+    return lm_quality(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select("row.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
