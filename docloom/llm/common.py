@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Rows of a batch to Python: each worker and its executor hold a batch of whole texts, and operators regroup rows by bytes.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,8 +81,10 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, fn, schema: str | T.StructType, keeps: bool = False) -> DataFrame:
-    """mapInArrow; unless fn keeps something itself, its tasks first drop what another operator left in the worker."""
+    """mapInArrow, in batches of BATCH_ROWS at most; unless fn keeps something itself, its tasks first drop what another operator left in the worker."""
     workers_import(df.sparkSession)
+    if not 0 < int(df.sparkSession.conf.get(BATCH)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(BATCH, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.enable()
