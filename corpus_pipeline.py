@@ -9,19 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.byte_bpe import byte_bpe
-from docloom.llm.common import scratch_dir, table
+from docloom.llm.common import scratch, scratch_dir, table
 from docloom.llm.mixing import mixed_documents
 from docloom.llm.near_dedup import near_dedup
 from docloom.llm.ngram_lm import lm_quality
 from docloom.llm.quality_rules import quality_rules
 
 
-def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept; verdicts on a doc_id agree."""
-    good = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi").select(*docs.columns)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lm_quality(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select("row.*")
 
@@ -31,7 +25,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_rows(docs, near_dedup(docs)).dropDuplicates(["doc_id"])
+    """One row of each group, and all rows that are in none. Rows count by a number of their own, so doc_ids may be null or repeat."""
+    taken = {c.lower() for c in docs.columns}
+    number = next(c for c in ("row_number", *(f"row_number_{k}" for k in range(len(taken) + 1))) if c not in taken)
+    rows = scratch(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = near_dedup(rows.select(F.col(number).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(number))
+    return rows.join(found.hint("shuffle_hash"), number, "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
