@@ -5,10 +5,10 @@ runs of order 2, 4 and 6) into BUCKETS buckets. A text's feature vector holds
 the share of each bucket among its n-grams of a family, so its logit is a bias
 plus the mean weight of its n-grams: scoring is a gather and a sum, in Arrow
 batches. Logistic regression is fitted on labelled rows (quality 1 and not
-toxic against quality 0), at most SAMPLE of each class, chosen by a hash of
-doc_id; this bound on training is the only one, scores cover whole texts. A
-third of the sample is held out for Platt scaling of the logit to a
-probability, and rows are kept from the fixed THRESHOLD on.
+toxic against quality 0), at most SAMPLE of each class and as many as have VALUES
+vector values, in the order of a hash of doc_id; these bounds on training are the
+only ones, scores cover whole texts. A third of each class is held out for Platt
+scaling of the logit to a probability, and rows are kept from the fixed THRESHOLD on.
 
 Toxic text is told by a few words of it, which a mean over a text drowns, so a
 second classifier looks at which words stand in a text at all: naive Bayes, on
@@ -24,7 +24,7 @@ has no say; without both the verdict is the base rules' alone. Labels that are n
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import groups, map_arrow, record_batch
-from docloom.llm.textbytes import is_space, mix, runs, word_hashes, word_spans
+from docloom.llm.textbytes import is_space, runs, word_hashes, word_spans
 
 BUCKETS = 1 << 18
-SAMPLE = 1000
+#: Bounds on training, for each class: labelled rows, and values of their vectors.
+SAMPLE, VALUES = 1000, 4_000_000
 THRESHOLD = 0.3
 SEEN, SPLIT = 4, 15.0
 CHAR_ORDERS = (2, 4, 6)
@@ -146,9 +147,7 @@ class Toxicity:
 
 def fit_toxicity(words: list[np.ndarray], good: np.ndarray) -> Toxicity | None:
     """Naive Bayes on two thirds of each class, then Platt scaling on the rest; None if no word tells the classes apart."""
-    held = np.zeros(len(good), np.bool_)
-    for c in (0, 1):
-        held[np.flatnonzero(good == c)[::3]] = True
+    held = thirds(good)
     texts, n = [], []
     for c in (0, 1):
         own = np.flatnonzero(~held & (good == c))
@@ -165,31 +164,27 @@ def fit_toxicity(words: list[np.ndarray], good: np.ndarray) -> Toxicity | None:
 
 
 def fit(vectors: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: int = 80, ridge: float = 1e-5) -> Classifier:
-    """Full-batch gradient steps with momentum on the class-balanced loss, then Platt scaling on each third vector."""
-    held = np.arange(len(good)) % 3 == 0
+    """Full-batch gradient steps with momentum on the class-balanced loss, then Platt scaling on a third of each class."""
+    held = thirds(good)
     train = np.flatnonzero(~held)
-    sizes = np.array([len(v[0]) for v in vectors])
-    begin = np.concatenate([[0], np.cumsum(sizes[train])])
     index = np.concatenate([vectors[i][0] for i in train])
     value = np.concatenate([vectors[i][1] for i in train])
+    row = np.repeat(np.arange(len(train), dtype=np.int32), [len(vectors[i][0]) for i in train])
+    parts = [slice(at, at + SLICE) for at in range(0, len(index), SLICE)]
     y = good[train].astype(np.float64)
-    n_good = max(1.0, y.sum())
-    n_bad = max(1.0, len(y) - y.sum())
-    balance = np.where(y > 0, 0.5 / n_good, 0.5 / n_bad)
-    filled = sizes[train] > 0
+    balance = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, len(y) - y.sum()))
 
     def margins(w: np.ndarray, bias: float) -> np.ndarray:
-        out = np.zeros(len(train))
-        out[filled] = np.add.reduceat(w.take(index) * value, begin[:-1][filled])
-        return out + bias
+        return sum((np.bincount(row[p], w.take(index[p]) * value[p], len(train)) for p in parts), np.zeros(len(train))) + bias
 
-    scale = np.bincount(index, value * np.repeat(balance, sizes[train]), BUCKETS)
-    step = 4.0 / np.sqrt(scale + 1e-6)  # rare buckets move farther, as in diagonal preconditioning
+    def by_bucket(of_row: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(index[p], value[p] * of_row.take(row[p]), BUCKETS) for p in parts), np.zeros(BUCKETS))
+
+    step = 4.0 / np.sqrt(by_bucket(balance) + 1e-6)  # rare buckets move farther, as in diagonal preconditioning
     w, bias, speed, drift = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), 0.0
     for _ in range(rounds):
         miss = (1 / (1 + np.exp(-np.clip(margins(w, bias), -40, 40))) - y) * balance
-        gradient = np.bincount(index, value * np.repeat(miss, sizes[train]), BUCKETS) + ridge * w
-        speed = 0.9 * speed - step * gradient
+        speed = 0.9 * speed - step * (by_bucket(miss) + ridge * w)
         drift = 0.9 * drift - 1.0 * miss.sum()
         w += speed
         bias += drift
@@ -198,6 +193,14 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds:
     return Classifier(w.astype(np.float32), bias, slope, offset)
 
 
+def thirds(good: np.ndarray) -> np.ndarray:
+    """Every third row of each class."""
+    held = np.zeros(len(good), np.bool_)
+    for c in (0, 1):
+        held[np.flatnonzero(good == c)[::3]] = True
+    return held
+
+
 def platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve from margins to labels, by Newton steps with Platt's smoothed targets."""
     n_good, n_bad = int(good.sum()), int(len(good) - good.sum())
@@ -226,12 +229,12 @@ def platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3) / spread), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Classifier | None, Toxicity | None]:
-    """The classifiers from at most `sample` labelled rows of each class (good, bad and toxic), each None if one of its classes is missing."""
-    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, values: int = VALUES) -> tuple[Classifier | None, Toxicity | None]:
+    """The classifiers from labelled rows, at most `sample` of each class (good, bad and toxic) and as many as have `values` values in all; each None if one of its classes is missing. One task fits them: what it holds follows these bounds."""
+    label = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(4))
-    draw = lambda rows: label.where(rows).orderBy(order, "doc_id").limit(sample)
-    classes = draw("good = 1").select("doc_id", F.lit(1).alias("class")), draw("good = 0").select("doc_id", F.lit(0).alias("class")), draw("toxic").select("doc_id", F.lit(2).alias("class"))
+    draw = lambda rows: label.where(rows).select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
+    classes = [draw(rows).withColumn("class", F.lit(k)) for k, rows in enumerate(("good = 0", "good = 1", "toxic"))]
     chosen = classes[0].unionByName(classes[1]).unionByName(classes[2])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null")  # chosen has 3 * sample rows at most
 
@@ -245,21 +248,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Cla
                 {"doc_id": pa.int64(), "class": pa.int32(), "index": pa.binary(), "value": pa.binary(), "words": pa.binary()},
             )
 
-    got = map_arrow(rows.select("doc_id", "class", "text"), run, "doc_id long, class int, index binary, value binary, words binary").toArrow()
-    if not got.num_rows:
-        return None, None
-    kind, number = got.column("class").to_numpy(), mix(got.column("doc_id").to_numpy().astype(np.uint64))
-    order = np.lexsort((kind, number))
-    index, value, words = (got.column(c).to_pylist() for c in ("index", "value", "words"))
-    two = order[kind[order] != 2]
-    quality = toxicity = None
-    if len(two) >= 6 and kind[two].min() != kind[two].max():
-        quality = fit([(np.frombuffer(index[i], np.int32), np.frombuffer(value[i], np.float32)) for i in two], kind[two])
-    two = order[kind[order] != 0]
-    good = (kind[two] == 1).astype(np.int32)
-    if min(good.sum(), len(good) - good.sum()) >= 3:
-        toxicity = fit_toxicity([np.frombuffer(words[i], np.int32) for i in two], good)
-    return quality, toxicity
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: list[list[tuple]] = [[], [], []]
+        size = [0, 0, 0]
+        for batch in batches:
+            for i, c in enumerate(batch.column(1).to_pylist()):
+                index, value, words = (batch.column(k)[i].as_py() for k in (2, 3, 4))
+                size[c] += len(index if c < 2 else words) // 4
+                if size[c] <= values and len(drawn[c]) < sample or not drawn[c]:
+                    drawn[c].append((np.frombuffer(index, np.int32), np.frombuffer(value, np.float32), np.frombuffer(words, np.int32)) if c < 2 else (None, None, np.frombuffer(words, np.int32)))
+        bad, fine, toxic = drawn
+        quality = toxicity = None
+        if bad and fine and len(bad) + len(fine) >= 6:
+            quality = fit([v[:2] for v in bad + fine], np.repeat([0, 1], [len(bad), len(fine)]))
+        if min(len(fine), len(toxic)) >= 3:
+            toxicity = fit_toxicity([v[2] for v in toxic + fine], np.repeat([0, 1], [len(toxic), len(fine)]))
+        yield record_batch({"model": [pickle.dumps((quality, toxicity))]}, {"model": pa.binary()})
+
+    vectors = map_arrow(rows.select("doc_id", "class", "text"), run, "doc_id long, class int, index binary, value binary, words binary")
+    together = vectors.repartition(1).sortWithinPartitions("class", order, "doc_id", F.xxhash64("index"))
+    made = map_arrow(together, learn, "model binary").first()
+    return pickle.loads(made["model"]) if made else (None, None)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:

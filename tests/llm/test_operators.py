@@ -153,6 +153,18 @@ def test_quality_rules_learn_on_held_out_rows(spark):
     assert np.mean(good) > 0.9 and np.mean(bad) < 0.2
 
 
+@pytest.mark.parametrize("bad", [1, 5, 20, 70])
+@pytest.mark.parametrize("gap", [0.2, 1, 5, 50])
+def test_scaling_keeps_good_rows_beside_few_bad_ones(bad, gap):
+    rng = np.random.default_rng(bad)
+    z, good = np.concatenate([rng.normal(0, 1, bad), rng.normal(gap, 1, 1000)]), np.repeat([0, 1], [bad, 1000])
+    for scale in (0.01, 1, 100):
+        slope, offset = quality_rules.platt(z * scale + 7, good)
+        p = 1 / (1 + np.exp(-(slope * (z * scale + 7) + offset)))
+        assert (p[good == 1] >= quality_rules.THRESHOLD).mean() >= 0.9
+        assert gap < 5 or bad < 5 or (p[good == 0] < quality_rules.THRESHOLD).mean() >= 0.8
+
+
 def test_quality_rules_catch_toxic_rows(spark):
     rng, words = np.random.default_rng(7), [f"w{i}" for i in range(300)]
     bad = ["idiot", "moron", "scum"]
