@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,3 +115,14 @@ def normalised(v: Column) -> Column:
 
 def bucket(token: Column, dims: int) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dims
+
+
+class Buckets(dict):
+    """The bucket of each token, in step with bucket(), computed once."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        out = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims
+        return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import string
 
 import numpy as np
@@ -39,25 +38,23 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(tx.strip(text), r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
 
 
+BREAK = "\0"
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def adjacent_similarities(found: pd.Series) -> pd.Series:
     """Cosine of each sentence and the next. Stand-in embedding: hashed bags of words, kept as whole numbers, so that sums are exact in any order."""
     gone = str.maketrans("", "", string.punctuation)
-    known: dict[str, int] = {}
-
-    def bag(sentence: str) -> np.ndarray:
-        out = np.zeros(DIMS, np.int64)
-        for token in sentence.lower().translate(gone).split():
-            if len(token) > 1:
-                if token not in known:
-                    known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIMS
-                out[known[token]] += 1
-        return out
+    known = tx.Buckets(DIMS)
 
     def one(sents: np.ndarray) -> np.ndarray:
-        if len(sents) < 2:
+        n = len(sents)
+        if n < 2:
             return np.empty(0)
-        bags = np.stack([bag(s) for s in sents])
+        tokens = f"\n{BREAK}\n".join([s.replace(BREAK, " ") if BREAK in s else s for s in sents]).lower().translate(gone).split()
+        of = np.array([known[t] if len(t) > 1 else -1 if t == BREAK else -2 for t in tokens], np.int64)
+        owner = np.cumsum(of == -1)[of >= 0]
+        bags = np.bincount(owner * DIMS + of[of >= 0], minlength=n * DIMS).reshape(n, DIMS)
         norms = np.sqrt((bags * bags).sum(1).astype(np.float64))
         dots = (bags[:-1] * bags[1:]).sum(1).astype(np.float64)
         both = norms[:-1] * norms[1:]

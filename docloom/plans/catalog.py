@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from docloom.operators import index as ix
 from docloom.operators import retrieval as rt
 from docloom.operators import segments as sg
 from docloom.sources.documents import html_to_markdown
+from docloom.sources.tables import scratch, scratch_dir
 
 QUERY = "the of and thand, the zzzabsent Reouha"
 RARE = "reouha zzzabsent"
@@ -291,6 +294,28 @@ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sco
     )
 
 
+_indexes: dict[tuple[str, str], rt.KeywordIndex] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> rt.KeywordIndex:
+    """The keyword index of documents, built by the first query of a session that searches it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = rt.KeywordIndex.build(documents(spark, sf_dir), "doc_id", f"{scratch_dir(spark)}/keywords-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
+_vectors: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos and bag of documents, the stand-in for stored embeddings, made by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _vectors:
+        _vectors[key] = scratch(rt.token_table(documents(spark, sf_dir), "doc_id").select("pos", rt.hashed_bags(F.col("tokens"), 64).alias("bag")), "bags")
+    return _vectors[key]
+
+
 def one_query(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(0, text)], "qid long, text string")
 
@@ -307,8 +332,7 @@ def bm25_postings(spark, sf_dir):
 
 @query(f"WITH {BM_SQL} SELECT term, df, round(idf, 6) AS idf FROM lex")
 def bm25_lexicon_idf(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return rt.lexicon(rt.postings(rt.token_table(docs, "doc_id")), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return keyword_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def shown(found: DataFrame) -> DataFrame:
@@ -317,18 +341,18 @@ def shown(found: DataFrame) -> DataFrame:
 
 @query(f"WITH {bm_sql(f'''SELECT 0::BIGINT AS qid, '{QUERY}' AS text''', K)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm")
 def bm25_topk(spark, sf_dir):
-    return shown(rt.bm25_search(documents(spark, sf_dir), "doc_id", one_query(spark, QUERY), K))
+    return shown(keyword_index(spark, sf_dir).search(one_query(spark, QUERY), K))
 
 
 @query(f"WITH {bm_sql(f'''SELECT 0::BIGINT AS qid, '{RARE}' AS text''', K)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm")
 def bm25_zero_score_fill(spark, sf_dir):
-    return shown(rt.bm25_search(documents(spark, sf_dir), "doc_id", one_query(spark, RARE), K))
+    return shown(keyword_index(spark, sf_dir).search(one_query(spark, RARE), K))
 
 
 @query(f"WITH {bm_sql('SELECT item_id AS qid, text FROM benchmark', 10)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm")
 def bm25_batch_topk(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return shown(rt.bm25_search(documents(spark, sf_dir), "doc_id", asked, 10))
+    return shown(keyword_index(spark, sf_dir).search(asked, 10))
 
 
 DOT_SQL = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -366,10 +390,9 @@ hybrid AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, dr ASC
 
 
 def hybrid(spark, sf_dir) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    tokens = rt.token_table(docs, "doc_id")
     words = one_query(spark, QUERY).select(tx.tokens(F.col("text")).alias("t")).first().t
-    return rt.rrf(rt.ranked(rt.hashed_scores(tokens, words, 64), K), rt.bm25_search(docs, "doc_id", one_query(spark, QUERY), K), K)
+    dense = rt.ranked(rt.hashed_scores(stored_bags(spark, sf_dir), words, 64), K)
+    return rt.rrf(dense, keyword_index(spark, sf_dir).search(one_query(spark, QUERY), K), K)
 
 
 @query(f"WITH {HYBRID_SQL} SELECT doc_id, round(score, 6) AS score, rank FROM hybrid")
