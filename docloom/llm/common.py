@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.sources.tables import remove, scratch, scratch_dir  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of a batch to Python: each worker and its executor hold a batch of whole texts, and operators regroup rows by bytes.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
@@ -24,34 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only in local mode, where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="docloom-")
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: a lost executor costs no recomputation beyond it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver was started."""
     env = spark.sparkContext.environment

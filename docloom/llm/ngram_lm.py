@@ -279,7 +279,9 @@ def lm_quality(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataF
     name, path = bundled(rows, struct.fieldNames())
     bundles = spark.table(name)
     orders = model(scratch(gram_counts(bundles, good.where(~left_out()), text_at), "grams"))
-    scores = scratch(scored(bundles, orders, struct, text_at).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.lang").cast("string").alias("lang"), "n_symbols", "score"), "scores")
+    found = scored(bundles, orders, struct, text_at)
+    whole = ["row"] if carry else []
+    scores = scratch(found.select(*whole, F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.lang").cast("string").alias("lang"), "n_symbols", "score"), "scores")
     spark.sql(f"DROP TABLE {name}")
     remove(spark, path)
 
@@ -293,5 +295,4 @@ def lm_quality(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataF
         .withColumn("threshold", limit)
         .withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(False)))
     )
-    first = ["row"] if carry else ["doc_id", "lang"]
-    return judged.select(*first, "n_symbols", "score", F.exp("score").alias("perplexity"), "threshold", "kept")
+    return judged.select(*(whole or ["doc_id", "lang"]), "n_symbols", "score", F.exp("score").alias("perplexity"), "threshold", "kept")
