@@ -176,25 +176,41 @@ def skip_noise_sections(spark, sf_dir):
     return bk.without_noise(md_blocks(spark, sf_dir)).select("doc_id", "block", "text")
 
 
-@query(
-    f"""WITH {BLOCK_SQL}, l2 AS (SELECT doc_id, block, unnest(range(len(l)))::BIGINT AS pos, unnest(l) AS line FROM (SELECT doc_id, block, string_split(text, chr(10)) AS l FROM full_blocks)),
+def parts_sql(blocks: str) -> str:
+    """parts (doc_id, block, part, kind, text) of a table of blocks."""
+    return f"""l2 AS (SELECT doc_id, block, unnest(range(len(l)))::BIGINT AS pos, unnest(l) AS line FROM (SELECT doc_id, block, string_split(text, chr(10)) AS l FROM {blocks})),
 f2 AS (SELECT *, starts_with(line, '```') AS fence, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY pos) AS upto FROM l2),
 k2 AS (SELECT *, fence AND upto % 2 = 1 AS opening, CASE WHEN fence OR upto % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^\\|.+\\|') THEN 'table' ELSE 'text' END AS kind FROM f2),
 c2 AS (SELECT *, opening OR coalesce(lag(kind) OVER (PARTITION BY doc_id, block ORDER BY pos) <> kind, true) AS change FROM k2),
-p2 AS (SELECT *, sum(CASE WHEN change THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY pos) AS part FROM c2)
-SELECT doc_id, block, part::BIGINT AS part, kind, trim(string_agg(line, chr(10) ORDER BY pos), ' ' || chr(10) || chr(9)) AS text FROM p2 GROUP BY doc_id, block, part, kind"""
-)
+p2 AS (SELECT *, sum(CASE WHEN change THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY pos) AS part FROM c2),
+parts AS (SELECT doc_id, block, part::BIGINT AS part, kind, trim(string_agg(line, chr(10) ORDER BY pos), ' ' || chr(10) || chr(9)) AS text FROM p2 GROUP BY doc_id, block, part, kind)"""
+
+
+@query(f"WITH {BLOCK_SQL}, {parts_sql('full_blocks')} SELECT * FROM parts")
 def subblock_segments(spark, sf_dir):
     return bk.sub_blocks(md_blocks(spark, sf_dir)).select("doc_id", "block", "part", "kind", "text")
 
 
-@query()
+def table_sql(tables: str) -> str:
+    """table_pieces (doc_id, piece, text) of tables (doc_id, text). A piece goes on from the row after the last piece's end to the first row that brings it over the limit."""
+    return f"""trows AS (SELECT doc_id, i, r, sum(length(r) + 1) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS p FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS r FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda r: trim(r) <> '') AS l FROM {tables}))),
+theads AS (SELECT doc_id, max(i) AS n, max(p) FILTER (i <= 2) AS hp, string_agg(r, chr(10) ORDER BY i) FILTER (i <= 2) AS head FROM trows GROUP BY doc_id),
+tcuts(doc_id, piece, s, e) AS (SELECT h.doc_id, 0::BIGINT, 3::BIGINT, (SELECT min(i) FROM trows t WHERE t.doc_id = h.doc_id AND t.i >= 3 AND t.p - 1 > {sg.MAX_CHARS}) FROM theads h WHERE h.n > 2
+ UNION ALL SELECT c.doc_id, c.piece + 1, c.e + 1, (SELECT min(t.i) FROM trows t JOIN theads g ON g.doc_id = t.doc_id JOIN trows b ON b.doc_id = t.doc_id AND b.i = c.e WHERE t.doc_id = c.doc_id AND t.i > c.e AND g.hp + t.p - b.p - 1 > {sg.MAX_CHARS}) FROM tcuts c JOIN theads h ON h.doc_id = c.doc_id WHERE c.e < h.n),
+table_pieces AS (SELECT c.doc_id, c.piece, any_value(h.head) || chr(10) || string_agg(t.r, chr(10) ORDER BY t.i) AS text FROM tcuts c JOIN theads h ON h.doc_id = c.doc_id JOIN trows t ON t.doc_id = c.doc_id AND t.i >= c.s AND t.i <= coalesce(c.e, h.n) GROUP BY c.doc_id, c.piece UNION ALL SELECT doc_id, 0, head FROM theads WHERE n <= 2)"""
+
+
+@query(f"WITH RECURSIVE wide AS (SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(text, '\\n$', ''), chr(10)), lambda r: '| ' || r || ' |'), chr(10)) AS text FROM documents), {table_sql('wide')} SELECT doc_id, piece, text FROM table_pieces")
 def table_split(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(tx.lines(F.col("text")), lambda r: F.concat(F.lit("| "), r, F.lit(" |"))), "\n").alias("table"))
     return rows.select("doc_id", F.posexplode(sg.table_pieces(F.col("table"))).alias("piece", "text")).select("doc_id", F.col("piece").cast("long").alias("piece"), "text")
 
 
-SENT_SQL = "sents AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS i, unnest(l) AS s FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents))"
+def sent_sql(texts: str = "documents") -> str:
+    return f"sents AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS i, unnest(l) AS s FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM {texts}))"
+
+
+SENT_SQL = sent_sql()
 
 
 @query(f"WITH {SENT_SQL} SELECT doc_id, i, s FROM sents")
@@ -202,14 +218,18 @@ def sentence_split(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(sg.sentences(F.col("text"))).alias("i", "s")).select("doc_id", F.col("i").cast("long").alias("i"), "s")
 
 
-SIM_SQL = (
-    SENT_SQL
-    + f""", words AS (SELECT doc_id, i, ('0x' || substr(md5(t), 1, 8))::UINTEGER % {sg.DIMS} AS b FROM (SELECT doc_id, i, unnest({tok('s')}) AS t FROM sents)),
+def sim_sql(texts: str = "documents") -> str:
+    return (
+        sent_sql(texts)
+        + f""", words AS (SELECT doc_id, i, ('0x' || substr(md5(t), 1, 8))::UINTEGER % {sg.DIMS} AS b FROM (SELECT doc_id, i, unnest({tok('s')}) AS t FROM sents)),
 bags AS (SELECT doc_id, i, b, count(*) AS n FROM words GROUP BY ALL), norms AS (SELECT doc_id, i, sum(n * n)::BIGINT AS nn FROM bags GROUP BY ALL),
 dots AS (SELECT a.doc_id, a.i, sum(a.n * b.n)::BIGINT AS d FROM bags a JOIN bags b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.b = b.b GROUP BY ALL),
 sims AS (SELECT x.doc_id, x.i, CASE WHEN p.nn > 0 AND q.nn > 0 THEN coalesce(d.d, 0) / (sqrt(p.nn) * sqrt(q.nn)) ELSE 0.0 END AS sim FROM sents x JOIN sents y ON x.doc_id = y.doc_id AND y.i = x.i + 1
  LEFT JOIN norms p ON p.doc_id = x.doc_id AND p.i = x.i LEFT JOIN norms q ON q.doc_id = x.doc_id AND q.i = x.i + 1 LEFT JOIN dots d ON d.doc_id = x.doc_id AND d.i = x.i)"""
-)
+    )
+
+
+SIM_SQL = sim_sql()
 
 
 @query(f"WITH {SIM_SQL} SELECT doc_id, i, round(sim, 6) AS sim FROM sims")
@@ -228,16 +248,45 @@ def adaptive_threshold(spark, sf_dir):
     return rows.select("doc_id", F.round(sg.threshold(F.col("sims")), 6).alias("threshold"))
 
 
-@query()
+def prose_sql(texts: str) -> str:
+    """prose_pieces (doc_id, piece, text) of texts (doc_id, text), stripped, with sents, sims and limits in place. A piece goes on to the first sentence at which the packing rule ends it."""
+    return f"""known_texts AS (SELECT t.doc_id, t.text, length(t.text) > {sg.SHORT} AND count(s.i) > 1 AS many FROM {texts} t LEFT JOIN sents s ON s.doc_id = t.doc_id GROUP BY t.doc_id, t.text),
+spans AS (SELECT s.doc_id, s.i, s.s, length(s.s) AS n, coalesce(sum(length(s.s) + 1) OVER (PARTITION BY s.doc_id ORDER BY s.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, coalesce(p.sim < l.lim, false) AS apart FROM sents s JOIN known_texts k ON k.doc_id = s.doc_id AND k.many LEFT JOIN sims p ON p.doc_id = s.doc_id AND p.i = s.i - 1 LEFT JOIN limits l ON l.doc_id = s.doc_id),
+packs(doc_id, piece, first, base, nxt) AS (SELECT k.doc_id, 0::BIGINT, 0::BIGINT, 1::BIGINT, (SELECT min(j.i) FROM spans j WHERE j.doc_id = k.doc_id AND j.i > 0 AND (j.apart AND j.before - 1 > {sg.SPLIT_FROM} OR j.before - 1 + j.n > {sg.MAX_CHARS})) FROM known_texts k WHERE k.many
+ UNION ALL SELECT c.doc_id, c.piece + 1, c.nxt, b.before, (SELECT min(j.i) FROM spans j JOIN spans f ON f.doc_id = j.doc_id AND f.i = c.nxt WHERE j.doc_id = c.doc_id AND j.i > c.nxt AND (j.apart AND j.before - f.before > {sg.SPLIT_FROM} OR j.before - f.before + j.n > {sg.MAX_CHARS})) FROM packs c JOIN spans b ON b.doc_id = c.doc_id AND b.i = c.nxt),
+raw_pieces AS (SELECT c.doc_id, c.piece, string_agg(j.s, ' ' ORDER BY j.i) AS text FROM packs c JOIN spans j ON j.doc_id = c.doc_id AND j.i >= c.first AND (c.nxt IS NULL OR j.i < c.nxt) GROUP BY c.doc_id, c.piece),
+grouped AS (SELECT *, sum(CASE WHEN piece = 0 OR length(text) >= {sg.MIN_PIECE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY piece) AS g FROM raw_pieces),
+whole_pieces AS (SELECT doc_id, g, string_agg(text, ' ' ORDER BY piece) AS text FROM grouped GROUP BY doc_id, g UNION ALL SELECT doc_id, 0, text FROM known_texts WHERE NOT many),
+prose_pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS piece, text FROM whole_pieces WHERE length(text) >= {sg.MIN_CHARS})"""
+
+
+@query(f"WITH RECURSIVE plain_texts AS (SELECT doc_id, trim(text, ' ' || chr(10)) AS text FROM documents), {sim_sql('plain_texts')}, {LIMIT_SQL}, {prose_sql('plain_texts')} SELECT * FROM prose_pieces")
 def semantic_chunks(spark, sf_dir):
     made = sg.prose_pieces(documents(spark, sf_dir).select("doc_id", tx.strip(F.col("text")).alias("text")))
     return made.select("doc_id", F.posexplode("pieces").alias("piece", "text")).select("doc_id", F.col("piece").cast("long").alias("piece"), "text")
 
 
-@query()
+CHUNK_SQL = f"""{BLOCK_SQL}, told AS (SELECT *, length(text) <= {sg.MAX_CHARS} AND NOT regexp_matches(text, '(?m)^\\|.+\\|') AND NOT contains(text, '```') AS plain FROM full_blocks WHERE NOT coalesce(regexp_matches(stack[-1], '{tx.SKIPPED}'), false)),
+mixed AS (SELECT * FROM told WHERE NOT plain), {parts_sql('mixed')}, large AS (SELECT *, doc_id || ':' || block || ':' || part AS key FROM parts WHERE length(text) >= {sg.MIN_CHARS}),
+tabs AS (SELECT key AS doc_id, text FROM large WHERE kind = 'table'), prose AS (SELECT key AS doc_id, text FROM large WHERE kind = 'text'),
+{table_sql('tabs')}, {sim_sql('prose')}, {LIMIT_SQL}, {prose_sql('prose')},
+wins AS (SELECT doc_id, block, 0::BIGINT AS part, 0::BIGINT AS piece, text, NULL::BOOLEAN AS wt, NULL::BOOLEAN AS wc FROM told WHERE plain AND length(text) >= {sg.MIN_CHARS}
+ UNION ALL SELECT doc_id, block, part, 0, text, NULL, true FROM large WHERE kind = 'code'
+ UNION ALL SELECT l.doc_id, l.block, l.part, t.piece, t.text, true, NULL FROM large l JOIN table_pieces t ON t.doc_id = l.key WHERE length(t.text) >= {sg.MIN_CHARS}
+ UNION ALL SELECT l.doc_id, l.block, l.part, t.piece, t.text, NULL, NULL FROM large l JOIN prose_pieces t ON t.doc_id = l.key),
+numbered AS (SELECT w.*, t.stack, row_number() OVER (PARTITION BY w.doc_id ORDER BY w.block, w.part, w.piece) - 1 AS local, CASE WHEN len(t.stack) > 0 THEN array_to_string(t.stack, ' > ') || chr(10) || chr(10) ELSE '' END || w.text AS whole FROM wins w JOIN told t ON t.doc_id = w.doc_id AND t.block = w.block),
+named AS (SELECT *, 'doc_' || doc_id AS doc, 'doc_' || doc_id || '_' || lpad(local::VARCHAR, greatest(4, length(local::VARCHAR))::INTEGER, '0') || '_' || substr(md5('doc_' || doc_id || ':' || local || ':' || substr(whole, 1, 60)), 1, 8) AS chunk_id FROM numbered)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNK_SQL} SELECT chunk_id, doc AS doc_id, 'a.pdf' AS source_file, local AS chunk_index, array_to_string(stack, ' > ') AS path, stack[-1] AS heading, whole AS text, length(whole)::BIGINT AS char_count,
+ coalesce(wt, regexp_matches(text, '(?m)^\\|.+\\|')) AS has_table, contains(text, '{tx.FORMULA_TAG}') OR regexp_matches(text, '\\$.+\\$') AS has_formula, coalesce(wc, regexp_matches(text, '(?m)^```')) AS has_code,
+ lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY local)"""
+)
 def chunk_table(spark, sf_dir):
     md = md_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(cx.in_order("pos", "line"), "\n").alias("md"))
-    return ck.chunk_markdown(md.select(F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.lit("a.pdf").alias("source_file"), F.lit(0).alias("slice_start"), "md"))
+    chunks = ck.chunk_markdown(md.select(F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.lit("a.pdf").alias("source_file"), F.lit(0).alias("slice_start"), "md"))
+    return chunks.withColumn("path", F.array_join("section_path", " > ")).drop("section_path")
 
 
 @query(f"WITH {PASSAGE_SQL} SELECT chunk_id, doc_id, chunk_index, char_count, has_table, has_formula, has_code FROM passages")
