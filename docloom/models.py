@@ -23,6 +23,22 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class SentenceSplitter(Protocol):
+    def split(self, text: str) -> list[str]: ...
+
+
+class Reranker(Protocol):
+    def predict(self, query: str, texts: list[str]) -> np.ndarray: ...
+
+
+class PdfReader(Protocol):
+    """What a PDF library must give: pages of a file, a file of some of its pages, and its markdown."""
+
+    def pages(self, content: bytes) -> int: ...
+    def cut(self, content: bytes, start: int, end: int) -> bytes: ...
+    def markdown(self, content: bytes) -> str: ...
+
+
 class Generator(Protocol):
     def ready(self) -> bool: ...
     def generate(self, prompt: str, limit: int, temperature: float) -> str: ...
@@ -45,6 +61,34 @@ class HashedWords:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+class PunctuationSplitter:
+    """Cuts after . ! or ? and white space."""
+
+    def split(self, text: str) -> list[str]:
+        return [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
+
+
+def words_of(text: str) -> list[str]:
+    return [t for t in text.lower().translate(str.maketrans("", "", string.punctuation)).split() if len(t) > 1]
+
+
+class TokenCoverage:
+    """Share of the query's distinct tokens that a text holds."""
+
+    def predict(self, query: str, texts: list[str]) -> np.ndarray:
+        asked = set(words_of(query))
+        return np.array([len(asked & set(words_of(t))) / len(asked) if asked else 0.0 for t in texts])
+
+
+def best_device() -> str:
+    """Where a model should be loaded: the first GPU if PyTorch is installed and finds one."""
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    return "cuda" if torch.cuda.is_available() else "cpu"
+
+
 def embedded(rows: DataFrame, embedder: Embedder, prefix: str = "passage: ", batch: int = 16) -> DataFrame:
     """rows with `embedding` of prefix + text; the model is loaded once a worker and fed `batch` texts at a time."""
 

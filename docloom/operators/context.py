@@ -10,13 +10,16 @@ from docloom.functions import text as tx
 HISTORY = 4
 #: What the model is told first.
 SYSTEM = (
-    "You are a research assistant. Use only the context below to answer.\n"
-    "If the context does not hold the answer, say that you cannot find it in the documents.\n"
-    "Name the source file of every fact you use.\n"
-    "Keep formulas, code and tables as they stand.\n"
-    "Do not invent facts, numbers or references.\n"
-    "Answer in the language of the question."
+    "You are a research assistant who answers from excerpts of papers.\n"
+    "- Use the context below and nothing else; name the file that each fact is from.\n"
+    "- If the context does not hold the answer, say that you cannot find it in the documents.\n"
+    "- Keep formulas, code, tables and technical terms as the source has them.\n"
+    "- Set out long answers as bullet points or numbered steps.\n"
+    "- Words like \"that\", \"it\" or \"this method\" may refer to earlier turns of the conversation.\n"
 )
+#: The marks that part a prompt, which models and other tools rely on.
+SYSTEM_MARK, USER_MARK, ASSISTANT_MARK = "### SYSTEM", "### USER", "### ASSISTANT"
+HISTORY_MARK, CONTEXT_MARK, QUESTION_MARK, ANSWER_MARK = "=== CONVERSATION HISTORY ===", "=== CONTEXT ===", "=== QUESTION ===", "=== ANSWER ==="
 
 
 def in_order(*columns: str | Column) -> Column:
@@ -41,15 +44,23 @@ def turns(messages: DataFrame) -> DataFrame:
 
 
 def history(all_turns: DataFrame, keep: int = HISTORY) -> DataFrame:
-    """session_id and history: the last `keep` turns, answers cut."""
+    """session_id and history: the last `keep` turns, answers cut, a blank line after each."""
     recent = all_turns.withColumn("r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn")))).where(F.col("r") <= keep)
-    line = F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: "), tx.cut_answer(F.col("answer")))
+    line = F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: "), tx.cut_answer(F.col("answer")), F.lit("\n"))
     told = recent.withColumn("line", line).groupBy("session_id").agg(F.array_join(in_order("turn", "line"), "\n").alias("said"))
-    return told.select("session_id", F.concat(F.lit("Conversation so far:\n"), F.col("said"), F.lit("\n")).alias("history"))
+    return told.select("session_id", F.concat(F.lit(HISTORY_MARK + "\n"), F.col("said")).alias("history"))
 
 
 def prompt(question: Column, told: Column, found: Column) -> Column:
-    return F.concat(F.lit(SYSTEM + "\n\n"), F.coalesce(told, F.lit("")), F.lit("\nContext:\n"), F.coalesce(found, F.lit("")), F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:"))
+    """System text, then history (null or empty: none), context, question and the mark for the answer."""
+    before = F.when(F.coalesce(told, F.lit("")) != "", F.concat(told, F.lit("\n"))).otherwise("")
+    head = f"{SYSTEM_MARK}\n{SYSTEM}\n\n{USER_MARK}\n"
+    return F.concat(F.lit(head), before, F.lit(CONTEXT_MARK + "\n"), F.coalesce(found, F.lit("")), F.lit(f"\n\n{QUESTION_MARK}\n"), question, F.lit(f"\n\n{ANSWER_MARK}\n\n{ASSISTANT_MARK}\n"))
+
+
+def rewrite_note(message: Column, search: Column) -> Column:
+    """What a reader is shown of the rewritten query: nothing if it is the message itself."""
+    return F.when(search != message, F.concat(F.lit("*Searched for: `"), search, F.lit("`*\n\n"))).otherwise("")
 
 
 def sources_markdown(chunks: DataFrame) -> DataFrame:

@@ -47,6 +47,8 @@ class ChunkIndex:
         self.spark, self.path = spark, path
         if create:
             spark.createDataFrame([], self.schema()).write.mode("append").parquet(path)
+        else:
+            spark.read.parquet(path)  # raises where there is no index
 
     @staticmethod
     def schema() -> T.StructType:
@@ -61,7 +63,10 @@ class ChunkIndex:
     def count(self) -> int:
         return self.read().count()
 
-    def get(self, ids: list[str]) -> DataFrame:
+    def get(self, ids: list[str] | DataFrame) -> DataFrame:
+        """The chunks of these ids: a short list goes to the scan as a filter, a table (chunk_id) is joined."""
+        if isinstance(ids, DataFrame):
+            return self.read().join(ids.select("chunk_id"), "chunk_id", "left_semi")
         return self.read().where(F.col("chunk_id").isin(ids))
 
     def add(self, chunks: DataFrame, embed) -> int:
@@ -71,3 +76,16 @@ class ChunkIndex:
         columns = [f.name for f in self.schema().fields]
         embed(fresh).select(*columns).write.mode("append").parquet(self.path)
         return self.count() - before
+
+    def upsert(self, chunks: DataFrame, embed) -> int:
+        """Embed the chunks and put them in the place of those with their ids. The table is written anew beside the old one and then takes its place. Returns how many chunks the index holds."""
+        columns = [f.name for f in self.schema().fields]
+        incoming = embed(chunks.dropDuplicates(["chunk_id"])).select(*columns)
+        both = upserted(self.read().withColumn("version", F.lit(0)), incoming.withColumn("version", F.lit(1)))
+        both.select(*columns).write.mode("overwrite").parquet(f"{self.path}.next")
+        jvm = self.spark.sparkContext._jvm
+        old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (self.path, f"{self.path}.next"))
+        files = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        files.rename(new, old)
+        return self.count()

@@ -473,7 +473,7 @@ def build_context(spark, sf_dir):
 
 
 HISTORY_SQL = """turns AS (SELECT conv_id AS session_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'),
-hist AS (SELECT session_id, 'Conversation so far:' || chr(10) || string_agg('Q: ' || question || chr(10) || 'A: ' || substr(answer, 1, 300) || '...', chr(10) ORDER BY turn) || chr(10) AS history FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS r FROM turns) WHERE r <= 4 GROUP BY session_id)"""
+hist AS (SELECT session_id, '=== CONVERSATION HISTORY ===' || chr(10) || string_agg('Q: ' || question || chr(10) || 'A: ' || substr(answer, 1, 300) || '...' || chr(10), chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS r FROM turns) WHERE r <= 4 GROUP BY session_id)"""
 
 
 @query(f"WITH {HISTORY_SQL} SELECT session_id, history FROM hist")
@@ -484,12 +484,22 @@ def history_window(spark, sf_dir):
 SYSTEM_SQL = cx.SYSTEM.replace("'", "''")
 
 
-@query(f"WITH {HISTORY_SQL} SELECT t.session_id, t.turn, '{SYSTEM_SQL}' || chr(10) || chr(10) || history || chr(10) || 'Context:' || chr(10) || t.answer || chr(10) || chr(10) || 'Question: ' || t.question || chr(10) || chr(10) || 'Answer:' AS prompt FROM turns t JOIN hist h ON t.session_id = h.session_id")
+@query(
+    f"""WITH {HISTORY_SQL} SELECT t.session_id, t.turn, '### SYSTEM' || chr(10) || '{SYSTEM_SQL}' || chr(10) || chr(10) || '### USER' || chr(10) || history || chr(10) || '=== CONTEXT ===' || chr(10) || t.answer || chr(10) || chr(10) || '=== QUESTION ===' || chr(10) || t.question
+ || chr(10) || chr(10) || '=== ANSWER ===' || chr(10) || chr(10) || '### ASSISTANT' || chr(10) AS prompt FROM turns t JOIN hist h ON t.session_id = h.session_id"""
+)
 def build_prompt(spark, sf_dir):
     said = cx.turns(table(spark, sf_dir, "conversations"))
     return said.join(cx.history(said), "session_id").select("session_id", "turn", cx.prompt(F.col("question"), F.col("history"), F.col("answer")).alias("prompt"))
 
 
+@query(f"""WITH {HISTORY_SQL} SELECT session_id, turn, CASE WHEN turn % 4 = 0 OR answer = question THEN '' ELSE '*Searched for: `' || answer || '`*' || chr(10) || chr(10) END AS note FROM turns""")
+def rewrite_notes(spark, sf_dir):
+    said = cx.turns(table(spark, sf_dir, "conversations"))
+    search = F.when(F.col("turn") % 4 == 0, F.col("question")).otherwise(F.col("answer"))
+    return said.select("session_id", "turn", cx.rewrite_note(F.col("question"), search).alias("note"))
+
+
 @query(
     f"""WITH {TOP_SQL} SELECT qid, string_agg('**' || (rank + 1)::VARCHAR || '. ' || source_file || '** (' || format('{{:.3f}}', 1.0::DOUBLE / (rank + 1)) || ')' || CASE WHEN has_table THEN ' · `table`' ELSE '' END || CASE WHEN has_formula THEN ' · `formula`' ELSE '' END
  || chr(10) || '*' || array_to_string(section_path, ' › ') || '*' || chr(10) || '> ' || replace(substr(text, 1, 300), chr(10), ' ') || CASE WHEN length(text) > 300 THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS sources FROM top GROUP BY qid"""

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import CUT_OFF
-from docloom.models import OFFLINE, Embedder, Generator, HashedWords, NoModel, without_thoughts
+from docloom.models import OFFLINE, Embedder, Generator, HashedWords, NoModel, Reranker, TokenCoverage, without_thoughts
 from docloom.operators import context as cx
 from docloom.operators import retrieval as rt
+from docloom.sources.tables import scratch_dir
 
 TOP_K, TOP_N, WINDOW, ANSWER_TOKENS, DRAFT_TOKENS = 50, 4, 0, 2048, 150
 DRAFT = "Write a short technical passage that could answer this question. Passage only.\n\nQuestion: {}\n\nPassage:"
+CHUNK = "qid int, rank int, doc_id string, source_file string, chunk_id string, section_path array<string>, text string"
 
 
 @dataclass
@@ -24,13 +28,18 @@ class Result:
     chunks: list[dict]
     latency: dict[str, float] = field(default_factory=dict)
 
+    @property
+    def total(self) -> float:
+        return sum(self.latency.values())
+
 
 class Engine:
-    """Over a table of chunks with embeddings, for one session's history."""
+    """Over a table of chunks with embeddings, for one session's history. The keyword index is built at the start; each question searches once."""
 
-    def __init__(self, chunks: DataFrame, embedder: Embedder | None = None, generator: Generator | None = None, rerank: bool = True):
+    def __init__(self, chunks: DataFrame, embedder: Embedder | None = None, generator: Generator | None = None, reranker: Reranker | None = TokenCoverage(), index_dir: str | None = None):
         self.chunks = chunks.withColumn("pos", F.format_string("%s|%012d", "doc_id", "chunk_index"))
-        self.embedder, self.generator, self.reranks = embedder or HashedWords(), generator or NoModel(), rerank
+        self.embedder, self.generator, self.reranker = embedder or HashedWords(), generator or NoModel(), reranker
+        self.keywords = rt.KeywordIndex.build(self.chunks, "pos", index_dir or f"{scratch_dir(chunks.sparkSession)}/keywords-{uuid.uuid4().hex}")
         self.history: list[tuple[str, str]] = []
 
     def rewrite(self, question: str) -> str:
@@ -42,21 +51,45 @@ class Engine:
             return question
         return draft if len(draft) >= 10 else question
 
-    def retrieve(self, query: str, top_k: int = TOP_K) -> DataFrame:
-        """chunk columns, score and rank of the fused top_k."""
+    def embed(self, query: str) -> list[float]:
+        return self.embedder.encode(["query: " + query])[0].tolist()
+
+    def retrieve(self, query: str, vector: list[float], top_k: int = TOP_K) -> list[dict]:
+        """The fused top_k as rows of the chunk table with score and rank, best first."""
+        asked = self.chunks.sparkSession.createDataFrame([(0, query)], "qid long, text string")
+        fused = rt.rrf(rt.dense_topk(self.chunks, "pos", "embedding", vector, top_k), self.keywords.search(asked, top_k), top_k)
+        return [r.asDict(True) for r in self.chunks.drop("embedding").join(F.broadcast(fused), "pos").orderBy("rank").collect()]  # top_k rows
+
+    def rerank(self, question: str, found: list[dict], top_n: int = TOP_N) -> list[dict]:
+        """The top_n by the reranker's score, ties by rank; without a reranker, or without candidates, the first top_n."""
+        if self.reranker is None or not found:
+            return [c | {"rerank_score": None} for c in found[:top_n]]
+        scores = self.reranker.predict(question, [c["text"] for c in found])
+        scored = [c | {"rerank_score": float(s)} for c, s in zip(found, scores, strict=True)]
+        return sorted(scored, key=lambda c: -c["rerank_score"])[:top_n]
+
+    def expand(self, kept: list[dict], window: int) -> list[dict]:
+        """The chunks and their neighbours, each once, by document and chunk id."""
         spark = self.chunks.sparkSession
-        vector = self.embedder.encode(["query: " + query])[0].tolist()
-        dense = rt.dense_topk(self.chunks, "pos", "embedding", vector, top_k)
-        keyword = rt.bm25_search(self.chunks.select("pos", "text"), "pos", spark.createDataFrame([(0, query)], "qid long, text string"), top_k)
-        return self.chunks.drop("embedding").join(F.broadcast(rt.rrf(dense, keyword, top_k)), "pos")  # top_k rows
+        hits = spark.createDataFrame([(c["doc_id"], c["chunk_index"]) for c in kept], "doc_id string, chunk_index long")
+        near = rt.neighbours(self.chunks.drop("embedding"), F.broadcast(hits), window)  # top_n rows and their neighbours
+        return sorted((r.asDict(True) | {"score": 0.0, "rerank_score": None} for r in near.collect()), key=lambda c: (c["doc_id"], c["chunk_id"]))
+
+    def context(self, kept: list[dict]) -> str:
+        if not kept:
+            return ""
+        rows = [(0, i, c["doc_id"], c["source_file"], c["chunk_id"], c["section_path"], c["text"]) for i, c in enumerate(kept)]
+        return cx.context(self.chunks.sparkSession.createDataFrame(rows, CHUNK)).first().context
 
-    def expand(self, hits: DataFrame, window: int) -> DataFrame:
-        """The hits and their neighbours, score 0, by document and chunk id."""
-        near = rt.neighbours(self.chunks.drop("embedding"), hits.select("doc_id", "chunk_index"), window)
-        return near.withColumn("score", F.lit(0.0)).withColumn("rerank_score", F.lit(None).cast("double"))
+    def prompt(self, question: str, context: str) -> str:
+        turns = "\n".join(f"Q: {q}\nA: {a[:300]}...\n" for q, a in self.history[-cx.HISTORY :])
+        told = f"{cx.HISTORY_MARK}\n{turns}\n" if turns else ""
+        return f"{cx.SYSTEM_MARK}\n{cx.SYSTEM}\n\n{cx.USER_MARK}\n{told}{cx.CONTEXT_MARK}\n{context}\n\n{cx.QUESTION_MARK}\n{question}\n\n{cx.ANSWER_MARK}\n\n{cx.ASSISTANT_MARK}\n"
 
     def query(self, question: str, top_k: int = TOP_K, top_n: int = TOP_N, rewrite_query: bool = True, expand_context: bool = False, window: int = WINDOW) -> Result:
-        """The answer with its chunks. Retrieval uses the rewritten query, reranking the question; the chunks returned are never widened."""
+        """The answer with its chunks. Retrieval uses the rewritten query, reranking the question; the chunks returned are never widened. A blank question is not answered and leaves no trace."""
+        if not question.strip():
+            return Result(question, "", [])
         spent: dict[str, float] = {}
 
         def timed(name: str, made):
@@ -65,22 +98,12 @@ class Engine:
             spent[name] = time.time() - began
             return out
 
-        search = timed("hyde", lambda: self.rewrite(question)) if rewrite_query else question
-        found = self.retrieve(search, top_k)
-        if self.reranks:
-            kept = timed("rerank", lambda: [r.asDict(True) for r in rt.rerank(found, question, top_n).collect()])
-        else:
-            kept = timed("retrieval", lambda: [r.asDict(True) for r in found.orderBy("rank").limit(top_n).collect()])
-        told, context = "", ""
-        if kept:
-            spark = self.chunks.sparkSession
-            hits = found.join(F.broadcast(spark.createDataFrame([(r["pos"], i) for i, r in enumerate(kept)], "pos string, place long")), "pos").drop("rank").withColumnRenamed("place", "rank")
-            if expand_context and window > 0:
-                hits = self.expand(hits, window).withColumn("rank", F.xxhash64("doc_id"))
-            context = cx.context(hits.withColumn("qid", F.lit(0))).first().context
-        if self.history:
-            told = "Conversation so far:\n" + "\n".join(f"Q: {q}\nA: {a[:300]}..." for q, a in self.history[-cx.HISTORY :]) + "\n"
-        prompt = f"{cx.SYSTEM}\n\n{told}\nContext:\n{context}\n\nQuestion: {question}\n\nAnswer:"
+        search = timed("hyde", lambda: self.rewrite(question) if rewrite_query else question)
+        vector = timed("embed", lambda: self.embed(search))
+        found = timed("retrieval", lambda: self.retrieve(search, vector, top_k))
+        kept = timed("rerank", lambda: self.rerank(question, found, top_n))
+        told = self.expand(kept, window) if expand_context and window > 0 and kept else kept
+        prompt = self.prompt(question, self.context(told))
         answer = timed("generate", lambda: self.answer(prompt))
         self.history = [*self.history, (question, answer)][-cx.HISTORY :]
         return Result(question, answer, kept, spent)
@@ -100,7 +123,35 @@ def printed(result: Result) -> str:
     lines = [f"Question: {result.query}", "", result.answer, ""]
     for i, c in enumerate(result.chunks, 1):
         path = " > ".join(c["section_path"] or []) or "-"
-        rerank = "" if c.get("rerank_score") is None else f" rerank {c['rerank_score']:.4f}"
+        rerank = "" if c.get("rerank_score") is None else f" rerank {c['rerank_score']:.3f}"
         lines.append(f"[{i}] {c['source_file']} | {path} | {c['score']:.4f}{rerank}")
-    lines.append(f"{sum(result.latency.values()) * 1000:.0f} ms")
+    parts = ", ".join(f"{k} {v * 1000:.0f} ms" for k, v in result.latency.items())
+    lines.append(f"{parts}; total {result.total:.2f} s")
     return "\n".join(lines)
+
+
+def console(engine: Engine, lines: Iterable[str]) -> Iterator[str]:
+    """What a console answers to lines typed: `exit` ends, `clear` forgets the history, `norewrite ` before a question leaves it as it is, and blank lines say nothing."""
+    for line in lines:
+        typed = line.strip()
+        word = typed.lower()
+        if not typed:
+            continue
+        if word == "exit":
+            return
+        if word == "clear":
+            engine.clear_history()
+            yield "History cleared."
+            continue
+        plain = word.startswith("norewrite ")
+        yield printed(engine.query(typed[len("norewrite ") :].strip() if plain else typed, rewrite_query=not plain))
+
+
+if __name__ == "__main__":
+    import sys
+
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.builder.getOrCreate()
+    for shown in console(Engine(session.read.parquet(sys.argv[1])), sys.stdin):
+        print(shown)
