@@ -322,65 +322,76 @@ def test_url_rules(spark):
 
 
 def template_verdicts_by_hand(leaves):
-    """Verdicts of {segments: (blocked, labelled)} on one host, by a recursive walk down the tree."""
+    """Verdicts of {segments: (blocked, labelled, pages)} on one host, by a recursive walk down the tree."""
 
     def alike(b, n, of):
-        all_b, all_n = sum(x for x, _ in of), sum(x for _, x in of)
+        all_b, all_n = sum(x[0] for x in of), sum(x[1] for x in of)
         return (b * all_n - all_b * n) ** 2 <= 4 * all_b * (all_n - all_b) * n
 
+    def shaped(own, of):
+        n, total = sum(own.values()), sum(sum(o.values()) for o in of)
+        bound = np.sqrt(0.5 * np.log(2 / url_filter.LEVEL)) * (1 / np.sqrt(n) + 1 / np.sqrt(total))
+        return all(abs(own[c] / n - sum(o[c] for o in of) / total) <= bound for o in of for c in o)
+
     groups = []
 
     def walk(members, place):
         ends, children = [m for m in members if len(m) == place], defaultdict(list)
         groups.append(ends)
-        for m in members:
-            if len(m) > place:
-                children[names[m][place]].append(m)
-        counts = {s: tuple(map(sum, zip(*(leaves[m] for m in ms), strict=True))) for s, ms in children.items()}
-        same = [s for s in children if sum(n > 0 for _, n in counts.values()) >= 2 and alike(*counts[s], counts.values())]
+        deeper = [m for m in members if len(m) > place]
+        many = len({m[place] for m in deeper}) > url_filter.FAN_OUT
+        for m in deeper:
+            children["*" if many else m[place]].append(m)
+        counts = {s: [sum(leaves[m][k] for m in ms) for k in (0, 1)] for s, ms in children.items()}
+        kids = {s: Counter() for s in children}
+        for s, ms in children.items():
+            for m in ms:
+                kids[s][m[place + 1] if len(m) > place + 1 else None] += leaves[m][2]
+        same = [s for s in children if len(children) >= 2 and alike(*counts[s], counts.values()) and shaped(kids[s], kids.values())]
         if same:
             walk([m for s in same for m in children[s]], place + 1)
         for s in children:
             if s not in same:
                 walk(children[s], place + 1)
 
-    names = {m: m for m in leaves}
     walk(list(leaves), 0)
     out = {}
     for g in groups:
         of = [leaves[m] for m in g]
-        near = [m for m in g if alike(*leaves[m], of)]
+        near = [m for m in g if alike(*leaves[m][:2], of)]
         for m in g:
-            b, n = map(sum, zip(*(leaves[x] for x in near), strict=True)) if m in near else leaves[m]
+            b, n = (sum(leaves[x][k] for x in near) for k in (0, 1)) if m in near else leaves[m][:2]
             out[m] = "block" if (b + 1) / (n + 4) >= 0.8 else "allow"
     return out
 
 
 def test_templates_merge_at_every_depth(spark):
-    rng, rules, urls = np.random.default_rng(11), [], []
-    # below /a: x and y are blocked by rules, z has no labels; c and d are alike at the first place, so e, with none, joins them
-    given = {("a", "x", "k"): (9, 9), ("a", "y", "k"): (8, 8), ("a", "z", "k"): (0, 0), ("b", "x", "k"): (0, 30), ("b", "q", "k"): (0, 0), ("a", "x"): (3, 3), ("f",): (0, 0)}
+    rng, urls = np.random.default_rng(11), []
+    # below /a: x and y are blocked by rules, z has no labels and is built alike; b is good, w is built otherwise
+    given = {("a", "x", "k"): (90, 90), ("a", "y", "k"): (80, 80), ("a", "z", "k"): (0, 0, 30), ("b", "x", "k"): (0, 300), ("b", "q", "k"): (0, 0, 40), ("w", "v", "u", "t"): (0, 0, 200)}
     hosts = {"one.org": given}
     hosts["two.org"] = {("c", "m"): (12, 12), ("d", "m"): (15, 15), ("e", "m"): (0, 0), ("e", "n"): (0, 0), ("c", "n"): (6, 6), ("d", "n", "r"): (0, 0)}
+    hosts["three.org"] = {("p", f"s{chr(97 + k % 26)}{chr(97 + k // 26)}"): (2, 2) if k % 2 else (0, 0, 2) for k in range(60)}
     for k in range(4):
         hosts[f"h.{'abcd'[k]}.net"] = {tuple(str(rng.choice(list("stuv"))) for _ in range(int(rng.integers(1, 5)))): (lambda n: (int(rng.choice([0, n // 2, n])), n))(int(rng.choice([0, 0, 5, 20]))) for _ in range(25)}
     for host, leaves in hosts.items():
-        for segments, (bad, n) in leaves.items():
-            path = "/".join(segments)
-            urls += [f"http://{host}/{path}?bad"] * bad + [f"http://{host}/{path}?good"] * (n - bad) + [f"http://{host}/{path}?own"]
+        for segments, (bad, n, *own) in list(leaves.items()):
+            path, more = "/".join(segments), own[0] if own else 1
+            urls += [f"http://{host}/{path}?bad"] * bad + [f"http://{host}/{path}?good"] * (n - bad) + [f"http://{host}/{path}?own"] * more
+            leaves[segments] = bad, n, n + more
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     ruled = url_filter.parsed(pages).join(pages, "page_id").selectExpr("page_id", "host", "path", "case when url like '%?bad' then 'block' when url like '%?good' then 'allow' end ruled")
-    found = {(r.host, r.template): r.by_template for r in url_filter.templates(ruled.selectExpr("*", "substr(path, 2) form")).collect()}
+    found = {(r.host, r.form): r.by_template for r in url_filter.templates(ruled.selectExpr("*", "substr(path, 2) form")).collect()}
     want = {(h, "/".join(s)): v for h, leaves in hosts.items() for s, v in template_verdicts_by_hand(leaves).items()}
     assert found == want
-    assert found["one.org", "a/z/k"] == "block" and found["two.org", "e/m"] == "block" and found["one.org", "b/q/k"] == "allow"
+    assert found["one.org", "a/z/k"] == "block" and found["two.org", "e/m"] == "block" and found["one.org", "b/q/k"] == found["one.org", "w/v/u/t"] == "allow" and found["three.org", "p/sba"] == "block"
 
 
-def test_unlabelled_urls_take_the_verdict_of_merged_siblings(spark):
-    paths = [f"/s/{x}/p" for x in "kl" for _ in range(10)] + ["/s/m/p", "/t/m/p"]
-    pages = spark.createDataFrame([(i, "http://a.org" + p) for i, p in enumerate(paths)], "page_id long, url string")
-    got = [r.verdict for r in url_filter.url_filter(pages, (("block", "org/s/k/"), ("block", "org/s/l/"))).sort("page_id").collect()]
-    assert got == ["block"] * 21 + ["allow"]
+def test_unlabelled_urls_take_the_verdict_of_folders_built_alike(spark):
+    paths = [f"/s/{x}/p" for x in "kl" for _ in range(10)] + ["/s/m/p", *["/t/m"] * 30, "/s/k/" + "p" * 5000, None]
+    pages = spark.createDataFrame([(i, p and "http://a.org" + p) for i, p in enumerate(paths)], "page_id long, url string")
+    got = [r.verdict for r in url_filter.url_filter(pages.unionByName(pages), (("block", "org/s/k/"), ("block", "org/s/l/"))).sort("page_id").collect()]
+    assert got == ["block"] * 42 + ["allow"] * 60 + ["block"] * 2 + ["allow"] * 2
 
 
 def components_by_hand(texts, size):
