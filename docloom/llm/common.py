@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.sources.tables import remove, scratch, scratch_dir  # noqa: F401
+from docloom.sources.tables import forget, recorded, remove, scratch, scratch_dir  # noqa: F401
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of a batch to Python: each worker and its executor hold a batch of whole texts, and operators regroup rows by bytes.

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import groups, map_arrow, record_batch, scratch
+from docloom.llm.common import forget, groups, map_arrow, record_batch, scratch
 from docloom.llm.textbytes import mix, runs, word_hashes, word_spans
 
 SLOTS, BANDS = 128, 32
@@ -226,7 +226,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = scratch(ordered(small), "links")
+        before, now = now, scratch(ordered(small), "links")
+        forget(before)
     return now
 
 
@@ -283,19 +284,21 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     shared = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
     near = components(rows.join(shared, "key").where("rep > pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     family = scratch(near.unionByName(near.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("rep"), F.col("b").alias("g")).join(reps, "rep"), "family")
+    forget(marked, near)
     sets = scratch(set_table(docs, family.select(F.col("rep").alias("doc_id")), shingle), "sets")
 
     sizes = family.groupBy("g").agg((blocks_needed(F.count("*"), F.sum("n")) <= 1).alias("small"))
-    family = looked_up(family, sizes, ["g"])
-    large = family.where("not small").select("rep", "n", "g", size_class(percent).alias("c"))
+    sized = looked_up(family, sizes, ["g"])
+    large = sized.where("not small").select("rep", "n", "g", size_class(percent).alias("c"))
     firsts = shipped(placed(large.withColumn("top", F.lit(False))), (F.col("x.k") == 0) | (F.col("y.k") == 0))
-    found = components(linked(family.where("small").select("rep", F.xxhash64("g").alias("task")).unionByName(firsts), sets, percent))
+    first = components(linked(sized.where("small").select("rep", F.xxhash64("g").alias("task")).unionByName(firsts), sets, percent))
 
-    labelled = large.join(found.select(F.col("a").alias("rep"), F.col("b").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
+    labelled = large.join(first.select(F.col("a").alias("rep"), F.col("b").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
     tops = labelled.groupBy("g", "own").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "own")).alias("most"))
     rest = looked_up(labelled, tops, ["g"]).select("rep", "n", "g", "c", (F.col("own") == F.col("most.own")).alias("top"))
     strays = shipped(placed(rest), ~(F.col("x.top") & F.col("y.top")))
-    found = components(found.unionByName(linked(strays, sets, percent)))
+    found = components(first.unionByName(linked(strays, sets, percent)))
+    forget(first, family, sets)
 
     final = members.join(found.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
     component = F.coalesce("c", "rep")

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import groups, map_arrow, record_batch, remove, scratch, scratch_dir
+from docloom.llm.common import groups, map_arrow, record_batch, recorded, remove, scratch, scratch_dir
 
 ORDER, BITS = 4, 16
 UNITS = 1 << BITS
@@ -278,12 +278,14 @@ def lm_quality(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataF
     good = scratch(trusted(labels), "trusted")
     name, path = bundled(rows, struct.fieldNames())
     bundles = spark.table(name)
-    orders = model(scratch(gram_counts(bundles, good.where(~left_out()), text_at), "grams"))
+    with recorded() as tables:
+        orders = model(scratch(gram_counts(bundles, good.where(~left_out()), text_at), "grams"))
     found = scored(bundles, orders, struct, text_at)
     whole = ["row"] if carry else []
     scores = scratch(found.select(*whole, F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.lang").cast("string").alias("lang"), "n_symbols", "score"), "scores")
     spark.sql(f"DROP TABLE {name}")
-    remove(spark, path)
+    for unused in (path, *tables):
+        remove(spark, unused)
 
     own = scores.where("score is not null").select("doc_id", "lang", "score").join(good.where(left_out()), "doc_id", "left_semi")
     quantile = F.percentile_approx("score", QUANTILE, 10_000).alias("q")
