@@ -1,16 +1,23 @@
 """Main text of web pages by two passes of block rules.
 
-The page is cut into blocks at block-level tags. Pass one decides a block by
-what holds it (menus, page headers, footers, sidebars, notices, adverts, forms
-and comments are boilerplate, as are all blocks outside an article if the page
-has one), by its link density, its length and its share of stop words. Blocks
-that stay ambiguous, as short ones do, take in pass two the label of the nearest
-decided block in the same article or body; between two that are as near, main
-text wins, as it does where nothing is decided inside an article.
-
-Null and empty pages give an empty text. Unclosed tags end with their holder or
-the page; a tag, comment or script that the page's end cuts is dropped. Nothing
-is capped. Only page_id, url and html are read.
+The page is cut into blocks at block-level tags. Blocks in menus, page headers,
+footers, sidebars, notices, adverts, forms and comments are boilerplate, as are
+all blocks outside an article if the page has one. Pass one decides the others
+by length and density: mostly linked ones are boilerplate, long ones with a fair
+share of stop words are main text, and long ones with few are boilerplate
+outside articles. Blocks that stay ambiguous, as short ones do (and in an article
+ones of few stop words, such as tables or languages without a list), take in pass
+two the label of the nearest decided block in the same article or body; between
+two that are as near, main text wins, as it does where nothing is decided inside
+an article, or on a page without any.
+
+A class, id or role names boilerplate if one of its parts (between spaces) holds
+a word of HINTS and nothing else but words of PLACES.
+
+Null and empty pages give an empty text; a text without tags is one block.
+Unclosed tags end with their holder or the page; a tag, comment or script that
+the page's end cuts is dropped. Nothing is capped. Repeated rows are extracted
+alike, empty tables give no rows. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -26,13 +33,16 @@ from pyspark.sql import functions as F
 from docloom.llm.common import groups, map_arrow, record_batch
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HOLDERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tbody thead tfoot tr td th details dialog figure blockquote fieldset menu button label".split())
 BREAKS = HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd hr pre address caption figcaption summary legend option center".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset label".split())
-#: Words of class, id or role that name boilerplate; beside a word of OWN they say nothing.
+#: Words of class, id or role that name boilerplate.
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal sidebar side menu nav navbar navigation breadcrumb breadcrumbs topbar masthead header footer footnav comment comments disqus reply replies respond form login signup subscribe newsletter share sharing social related recommended widget pagination pager copyright skip toolbar contentinfo complementary search".split())
-OWN = frozenset("article post entry story main content body text".split())
+#: Words that say where or what shape, and leave the meaning to a hint beside them.
+PLACES = frozenset("site page main article post posts stories top bottom left right primary secondary global mobile sticky box bar block list item items links link buttons button area panel section wrapper container wrap inner outer row col unit slot text message content".split())
+#: Beside these, a header or footer is the article's own.
+OWN = frozenset("article post entry story".split())
 #: Frequent words of the languages served.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were their one all we can has there been if more when will would who so no "
@@ -40,7 +50,7 @@ STOP_WORDS = frozenset(
     "le la les de des du et est un une en que qui dans pour pas sur au par plus avec ce il sont aux ou mais se ne "
     "el los las del y que una por con para su al lo como más pero sus este ya o sin sobre".split()
 )
-LINKED, SHORT, DENSE = 0.33, 70, 0.30
+LINKED, SHORT, DENSE, SPARSE, LONG = 0.33, 70, 0.30, 0.12, 210
 GOOD, BAD, OPEN = 1, 0, None
 
 
@@ -56,8 +66,15 @@ def named_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if "=" not in attributes or name in ("html", "body"):
         return False
-    words = {w for m in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & HINTS) and (not words & OWN or bool(words & {"comment", "comments", "sidebar", "advert"}))
+    for m in ATTRIBUTE.finditer(attributes):
+        for part in (m[1] or m[2] or m[3] or "").lower().split():
+            words = {w for w in re.split(r"[^a-z]+", part) if w}
+            hints = words & HINTS
+            if words & OWN:
+                hints -= {"header", "footer"}
+            if hints and words <= HINTS | PLACES | OWN:
+                return True
+    return False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -118,19 +135,21 @@ def first_pass(block: Block, has_article: bool) -> int | None:
     if block.bad or has_article and not block.holder:
         return BAD
     n = len(block.text)
-    if block.linked > LINKED * n and (not block.holder or block.linked >= 0.9 * n):
-        return OPEN if block.holder and n < SHORT and block.linked < n - 1 else BAD
+    if block.linked > LINKED * n:
+        return OPEN if block.holder and n < SHORT else BAD
     if n < SHORT:
         return OPEN
     words = [w.strip(".,;:!?#*$%&|<>\"'()").lower() for w in block.text.split()]
-    if sum(w in STOP_WORDS for w in words) >= DENSE * len(words) or block.holder or n > 3 * SHORT:
+    density = sum(w in STOP_WORDS for w in words) / len(words)
+    if density >= DENSE or density >= SPARSE and n > LONG:
         return GOOD
-    return OPEN
+    return BAD if density < SPARSE and not block.holder else OPEN
 
 
 def second_pass(found: list[Block], labels: list[int | None]) -> list[int]:
-    """Each open label from the nearest decided block of the same holder."""
+    """Each open label from the nearest decided block of the same holder; without one, main text in an article or on a page that has no other."""
     out = list(labels)
+    bare = GOOD not in labels
     before: dict[int, int] = {}
     near: dict[int, tuple[int, int]] = {}
     for i, block in enumerate(found):
@@ -148,7 +167,7 @@ def second_pass(found: list[Block], labels: list[int | None]) -> list[int]:
             if block.holder in after:
                 j = after[block.holder]
                 options.append((j - i, labels[j]))
-            out[i] = min(options, key=lambda x: (x[0], -x[1]))[1] if options else GOOD if block.holder else BAD
+            out[i] = min(options, key=lambda x: (x[0], -x[1]))[1] if options else GOOD if block.holder or bare else BAD
         elif not block.bad:
             after[block.holder] = i
     return out

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -240,6 +241,46 @@ def test_main_text(spark):
     assert [(r.text, r.n_chars) for r in rows] == [("Head & tail First one line. Short.", 34), ("", 0), ("", 0)]
 
 
+def article_by_hand(page):
+    """Blocks of the one article that each test page has: no boilerplate is inside."""
+    body = re.search("(?s)<article>(.*?)</article>", page)[1]
+    blocks = [re.sub("<[^>]*>", "", re.sub("<br>", " ", b)) for b in re.split("</?(?:p|h1|h2|ul|li)>", re.sub("(?s)<!--.*?-->", "", body))]
+    return " ".join(t for b in blocks if (t := " ".join(html.unescape(b).split())))
+
+
+def test_main_text_of_whole_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = pages.join(html_extract.extract_text(pages).select("page_id", "text", "n_chars"), "page_id").collect()
+    assert len(rows) == pages.count()
+    for r in rows:
+        assert r.text == article_by_hand(r.html) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><h1>Search engines</h1><div id="search-results"><p>hi there</p></div></article>', "Search engines hi there"),
+        ("<article><ul><li><a href=x>One</a></li><li>two</li></ul></article>", "One two"),
+        ("<body><p>short text</p></body>", "short text"),
+        ("plain &amp;  words", "plain & words"),
+        ('<body><nav><a href=x>Home</a></nav><p>short text</p><div class="main-menu">go</div><footer>2020</footer></body>', "short text"),
+        ('<article><p data-id="share">kept</p><div class="share-buttons">no</div><div class="article-header">title</div></article>', "kept title"),
+        ("<article>" + f"<p>{'word of the ' * 20}</p>" + "<p>" + "<a href=x>somewhere else entirely</a> " * 9 + "</p><p>near the links</p>" + f"<p>{'and so it is ' * 20}</p></article>", " ".join(["word of the"] * 20 + ["near the links"] + ["and so it is"] * 20)),
+        ("<p>" + "zzz qqq " * 60 + "</p><p>" + "this is what they said of it " * 9 + "</p>", " ".join(["this is what they said of it"] * 9)),
+    ],
+)
+def test_main_text_of_odd_pages(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_main_text_of_repeated_long_and_clashing_rows(spark):
+    long = "<article>" + "<p>the words of it are many and they go on</p>" * 20_000 + "</article>"
+    rows = [(1, "u", long, "a"), (1, "u", long, "b"), (2, None, None, "c"), (3, "u", "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_extract.extract_text(pages).sort("page_id").collect()
+    assert [(r.page_id, r.n_chars) for r in got] == [(1, 20_000 * 40 - 1)] * 2 + [(2, 0), (3, 0)] and html_extract.extract_text(pages.limit(0)).count() == 0
+
+
 def test_language_model(docs, nothing, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 79)] + [(20, 1, 0), (3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = {r.doc_id: r for r in ngram_lm.lm_quality(docs, labels).collect()}
