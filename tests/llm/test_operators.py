@@ -125,6 +125,21 @@ def test_token_counts_match_the_library(docs, nothing, tmp_path):
     assert token_counts.token_counts(nothing, path).count() == 0
 
 
+def test_token_counts_encode_misses_alone(spark, tmp_path, monkeypatch):
+    path, cache = P.path("piece_bpe_32k.model"), str(tmp_path / "cache")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    schema, mark = "doc_id long, text string", token_counts.MARK
+    token_counts.token_counts(spark.createDataFrame([(1, "one two"), (2, "long " * 50_000)], schema), path, cache).count()
+    stored = spark.read.parquet(cache)
+    stored.where("n_tokens < 100").selectExpr("digest", "version", "n_tokens + 1000 n_tokens").write.parquet(str(tmp_path / "changed"))
+    later = spark.createDataFrame([(1, "one two"), (3, f"one{mark}two"), (4, "three"), (4, "three"), (None, "one two")], schema)
+    rows = token_counts.token_counts(later, path, str(tmp_path / "changed")).collect()  # a hit keeps the count that was stored
+    known = len(model.encode("one two"))
+    assert known == len(model.encode(f"one{mark}two"))
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == sorted([(1, known + 1000), (3, known + 1000), (0, known + 1000)] + [(4, len(model.encode("three")))] * 2)
+    assert spark.read.parquet(str(tmp_path / "changed")).count() == 2
+
+
 def counts_by_hand(text):
     words, lines = re.findall(WORD, text), [x for x in text.split("\n") if re.search(WORD, x)]
     seen, covered = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7)), set()
