@@ -224,10 +224,15 @@ def test_media_digests_are_of_the_stored_rows(docs, monkeypatch):
         assert f"frames={frames};" in r.feature and r.feature.endswith(f"mel={zlib.crc32(np.rint(blocks * 16).astype(np.int16).tobytes()):08x}")
 
 
+def tiktoken_encoding():
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def test_byte_bpe_matches_the_library(docs, nothing):
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    library, texts = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), texts_of(docs)
+    library, texts = tiktoken_encoding(), texts_of(docs)
     for r in byte_bpe.byte_bpe(docs, path, P.PATTERN).collect():
         text = texts[r.doc_id] or ""
         assert r.ids == library.encode_ordinary(text) and bytes(r.decoded) == text.encode()
@@ -240,10 +245,8 @@ def test_byte_bpe_matches_the_library(docs, nothing):
 @pytest.mark.parametrize("size", [128, 129, 16_384, 16_385, 65_537, 200_000])
 def test_long_pieces_match_the_library(size):
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    library, own = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.ByteBpe(path, P.PATTERN)
-    known = [t.decode() for t in ranks if t.isalpha() and t.isascii()]
+    library, own = tiktoken_encoding(), byte_bpe.ByteBpe(path, P.PATTERN)
+    known = [t.decode() for t in own.ranks if t.isalpha() and t.isascii()]
     letters = "".join(known[k * 7919 % len(known)] for k in range(size // 2))[:size]
     for text in (letters, "".join(chr(0x4E00 + k * 7919 % 5000) for k in range(size // 3 + 1)), ("!?#=-*" * size)[:size], " " * size):
         ids = own.encode(text)
