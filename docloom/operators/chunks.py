@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.models import Embedder, SentenceSplitter
 from docloom.operators.blocks import heading_blocks, line_table, without_noise
 from docloom.operators.segments import windows
 
@@ -34,9 +35,9 @@ def linked(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long")).withColumn("prev_chunk_id", F.lag("chunk_id").over(order)).withColumn("next_chunk_id", F.lead("chunk_id").over(order))
 
 
-def chunk_markdown(docs: DataFrame) -> DataFrame:
-    """The chunk table of markdown documents (doc_id, source_file, slice_start, md)."""
+def chunk_markdown(docs: DataFrame, splitter: SentenceSplitter | None = None, embedder: Embedder | None = None, overlap: int = 0) -> DataFrame:
+    """The chunk table of markdown documents (doc_id, source_file, slice_start, md). Sentences are split and compared by models, or by stand-ins; `overlap` of them are repeated at the start of the next piece."""
     keyed = docs.withColumn("key", F.concat_ws("\x1f", "doc_id", F.col("slice_start").cast("string")))
-    found = windows(without_noise(heading_blocks(line_table(keyed.select(F.col("key").alias("doc_id"), "md"))))).withColumnRenamed("doc_id", "key")
+    found = windows(without_noise(heading_blocks(line_table(keyed.select(F.col("key").alias("doc_id"), "md")))), splitter, embedder, overlap).withColumnRenamed("doc_id", "key")
     named = found.join(keyed.select("key", "doc_id", "source_file", "slice_start"), "key").drop("key")
     return linked(assembled(named)).drop("slice_start", "local")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import text as tx
+from docloom.models import Embedder, SentenceSplitter
 
 MAX_CHARS, MIN_CHARS, MIN_PIECE, CEILING = 1200, 80, 200, 0.75
 SPLIT_FROM, SHORT, PERCENT = 300, 500, 0.3
@@ -18,24 +19,53 @@ DIMS = 64
 
 
 def table_pieces(text: Column, limit: int = MAX_CHARS) -> Column:
-    """A table's rows in pieces; a piece ends after it exceeds the limit, and the next starts with the first two rows again."""
-    rows = F.filter(F.split(text, "\n"), lambda r: tx.strip(r) != "")
-    head = F.slice(rows, 1, 2)
-    start = F.struct(F.array().cast("array<string>").alias("out"), head.alias("cur"), F.lit(False).alias("fresh"))
+    """A table's rows in pieces; a piece ends after it exceeds the limit, and the next starts with the first two rows again. A fold over the rows whose state decides where it goes on, in time linear in the rows."""
 
-    def step(s: Column, row: Column) -> Column:
-        cur = F.concat(s["cur"], F.array(row))
-        over = F.length(F.array_join(cur, "\n")) > limit
-        out = F.when(over, F.concat(s["out"], F.array(F.array_join(cur, "\n")))).otherwise(s["out"])
-        return F.struct(out.alias("out"), F.when(over, head).otherwise(cur).alias("cur"), (~over).alias("fresh"))
+    def one(table: str | None) -> list[str]:
+        rows = [r for r in (table or "").split("\n") if r.strip()]
+        head, out, held, size = rows[:2], [], [], 0
+        start = size = len("\n".join(head))
+        for row in rows[2:]:
+            held.append(row)
+            size += len(row) + 1
+            if size > limit:
+                out.append("\n".join([*head, *held]))
+                held, size = [], start
+        return out + ["\n".join([*head, *held])] if held or not out else out
 
-    folded = F.aggregate(F.slice(rows, F.lit(3), F.greatest(F.size(rows) - 2, F.lit(0))), start, step, lambda s: F.when(s["fresh"], F.concat(s["out"], F.array(F.array_join(s["cur"], "\n")))).otherwise(s["out"]))
-    return F.when(F.size(rows) <= 2, F.array(F.array_join(rows, "\n"))).otherwise(folded)
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(tables: pd.Series) -> pd.Series:
+        return tables.map(one)
 
+    return cut(text)
 
-def sentences(text: Column) -> Column:
-    """Stand-in for a trained splitter: cut after . ! or ? and white space."""
-    return F.filter(F.split(tx.strip(text), r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
+
+def sentences(text: Column, splitter: SentenceSplitter | None = None) -> Column:
+    """The sentences of a text, by a splitter, or by a stand-in for a trained one: cut after . ! or ? and white space."""
+    if splitter is None:
+        return F.filter(F.split(tx.strip(text), r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: splitter.split(t or ""))
+
+    return cut(text)
+
+
+def embedded_similarities(found: Column, embedder: Embedder) -> Column:
+    """Cosine of each sentence and the next, by an embedder, which gets the sentences of a batch of texts at once."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def similar(texts: pd.Series) -> pd.Series:
+        every = [s for sents in texts for s in sents]
+        if not every:
+            return texts.map(lambda _: np.empty(0))
+        v = np.asarray(embedder.encode(every), np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        near, ends = (v[:-1] * v[1:]).sum(1), np.cumsum([len(s) for s in texts])
+        return pd.Series([near[end - len(s) : max(end - 1, end - len(s))] for s, end in zip(texts, ends, strict=True)])
+
+    return similar(found)
 
 
 BREAK = "\0"
@@ -73,42 +103,59 @@ def threshold(sims: Column) -> Column:
     return F.least(F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t), F.lit(CEILING))
 
 
-def packed(sents: Column, sims: Column, limit: Column) -> Column:
-    """Sentences packed in order: a piece ends where similarity falls below the limit past 300 characters, or where MAX_CHARS would be passed."""
-    first = F.get(sents, F.lit(0))
-    start = F.struct(F.array().cast("array<string>").alias("out"), first.alias("cur"), F.length(first).alias("n"), limit.alias("limit"))  # the limit rides along, so it is computed once
-    pairs = F.zip_with(sims, F.slice(sents, F.lit(2), F.greatest(F.size(sents) - 1, F.lit(0))), lambda s, t: F.struct(s.alias("sim"), t.alias("s")))
+def packed(sents: Column, sims: Column, limit: Column, overlap: int = 0) -> Column:
+    """Sentences packed in order: a piece ends where similarity falls below the limit past 300 characters, or where MAX_CHARS would be passed; the next begins with its last `overlap` sentences. Linear in the sentences."""
 
-    def step(a: Column, x: Column) -> Column:
-        cut = ((x["sim"] < a["limit"]) & (a["n"] > SPLIT_FROM)) | (a["n"] + F.length(x["s"]) > MAX_CHARS)
-        out = F.when(cut, F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"])
-        cur = F.when(cut, x["s"]).otherwise(F.concat(a["cur"], F.lit(" "), x["s"]))
-        n = F.when(cut, F.length(x["s"]) + 1).otherwise(a["n"] + F.length(x["s"]) + 1)
-        return F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"), a["limit"].alias("limit"))
+    def one(found: np.ndarray, near: np.ndarray, least: float) -> list[str]:
+        if not len(found):
+            return []
+        out, held, n = [], [found[0]], len(found[0])
+        for sent, sim in zip(found[1:], near, strict=False):
+            if sim < least and n > SPLIT_FROM or n + len(sent) > MAX_CHARS:
+                out.append(" ".join(held))
+                held = [*(held[-overlap:] if overlap else []), sent]
+                n = sum(len(s) + 1 for s in held)
+            else:
+                held.append(sent)
+                n += len(sent) + 1
+        return [*out, " ".join(held)]
 
-    return F.aggregate(pairs, start, step, lambda a: F.concat(a["out"], F.array(a["cur"])))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def pack(found: pd.Series, near: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(found, near, least, strict=True)])
+
+    return pack(sents, sims, limit)
 
 
 def merged(pieces: Column) -> Column:
     """Pieces under MIN_PIECE characters join the piece before them."""
 
-    def step(out: Column, piece: Column) -> Column:
-        small = (F.length(piece) < MIN_PIECE) & (F.size(out) > 0)
-        last = F.concat(F.try_element_at(out, F.lit(-1)), F.lit(" "), piece)
-        return F.when(small, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(last))).otherwise(F.concat(out, F.array(piece)))
+    def one(found: np.ndarray) -> list[str]:
+        groups: list[list[str]] = []
+        for piece in found:
+            if groups and len(piece) < MIN_PIECE:
+                groups[-1].append(piece)
+            else:
+                groups.append([piece])
+        return [" ".join(g) for g in groups]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def merge(rows: pd.Series) -> pd.Series:
+        return rows.map(one)
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    return merge(pieces)
 
 
-def prose_pieces(rows: DataFrame) -> DataFrame:
-    """rows(text, ...) with `pieces`, computed stepwise so that each array is made once."""
-    cut = rows.withColumn("sents", sentences(F.col("text"))).withColumn("sims", adjacent_similarities(F.col("sents"))).withColumn("limit", threshold(F.col("sims")))
-    many = (F.size("sents") > 1) & (F.length("text") > SHORT)
-    made = F.when(many, F.filter(merged(packed(F.col("sents"), F.col("sims"), F.col("limit"))), lambda p: F.length(p) >= MIN_CHARS)).otherwise(F.filter(F.array("text"), lambda p: F.length(p) >= MIN_CHARS))
-    return cut.withColumn("pieces", made).drop("sents", "sims", "limit")
+def prose_pieces(rows: DataFrame, splitter: SentenceSplitter | None = None, embedder: Embedder | None = None, overlap: int = 0) -> DataFrame:
+    """rows(text, ...) with `pieces`, computed stepwise so that each array is made once. Without models, stand-ins split and compare sentences."""
+    known = rows.withColumn("sents", sentences(F.col("text"), splitter))
+    known = known.withColumn("many", (F.size("sents") > 1) & (F.length("text") > SHORT)).withColumn("asked", F.when(F.col("many"), F.col("sents")).otherwise(F.array().cast("array<string>")))
+    cut = known.withColumn("sims", embedded_similarities(F.col("asked"), embedder) if embedder else adjacent_similarities(F.col("asked"))).withColumn("limit", threshold(F.col("sims")))
+    made = F.when(F.col("many"), merged(packed(F.col("asked"), F.col("sims"), F.col("limit"), overlap))).otherwise(F.array("text"))
+    return cut.withColumn("pieces", made).withColumn("pieces", F.filter("pieces", lambda p: F.length(p) >= MIN_CHARS)).drop("sents", "asked", "many", "sims", "limit")
 
 
-def windows(blocks: DataFrame) -> DataFrame:
+def windows(blocks: DataFrame, splitter: SentenceSplitter | None = None, embedder: Embedder | None = None, overlap: int = 0) -> DataFrame:
     """doc_id, block, part, piece, heading_stack, text and the flags that are known (null: to be detected)."""
     from docloom.operators.blocks import sub_blocks
 
@@ -119,6 +166,6 @@ def windows(blocks: DataFrame) -> DataFrame:
     code = parts.where("kind = 'code'").select("doc_id", "block", "part", F.lit(0).alias("piece"), "heading_stack", "text", flag(None).alias("w_table"), flag(True).alias("w_code"))
     tables = parts.where("kind = 'table'").select("doc_id", "block", "part", F.posexplode(table_pieces(F.col("text"))).alias("piece", "text"), "heading_stack").where(F.length("text") >= MIN_CHARS)
     tables = tables.select("doc_id", "block", "part", "piece", "heading_stack", "text", flag(True).alias("w_table"), flag(None).alias("w_code"))
-    prose = prose_pieces(parts.where("kind = 'text'")).select("doc_id", "block", "part", F.posexplode("pieces").alias("piece", "text"), "heading_stack")
+    prose = prose_pieces(parts.where("kind = 'text'"), splitter, embedder, overlap).select("doc_id", "block", "part", F.posexplode("pieces").alias("piece", "text"), "heading_stack")
     prose = prose.select("doc_id", "block", "part", "piece", "heading_stack", "text", flag(None).alias("w_table"), flag(None).alias("w_code"))
     return fast.unionByName(code).unionByName(tables).unionByName(prose)

@@ -1,5 +1,8 @@
 """Chunking against plain Python statements of its rules."""
 
+import types
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -25,7 +28,8 @@ def table_by_hand(text, limit=sg.MAX_CHARS):
 def test_tables_split_with_their_header(spark):
     small = "|a|\n|-|"
     large = "\n".join(f"| {'x' * 90} {i} |" for i in range(40))
-    rows = [(small,), (large,), ("|a|\n|-|\n\n|b|",)]
+    long = "\n".join(f"| {'y' * (i * 37 % 300)} |" for i in range(400))
+    rows = [(small,), (large,), ("|a|\n|-|\n\n|b|",), (long,), ("",), ("|a|\n|-|\n" + "|" + "z" * 2000 + "|",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(sg.table_pieces(F.col("t"))).collect()]
     assert got == [table_by_hand(t) for (t,) in rows]
 
@@ -76,3 +80,53 @@ def test_lines_end_as_in_python(spark):
     texts = ["a\r\nb\rc\n", "x y\x85z", "", "end\n\n"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.lines(F.col("t"))).collect()]
     assert got == [t.splitlines() or [""] for t in texts]
+
+
+class Lines:
+    def split(self, text):
+        return text.split("\n")
+
+
+class Lengths:
+    def encode(self, texts):
+        return np.array([[len(t) % 7 + 1, len(t) % 5, 1] for t in texts], np.float64)
+
+
+def test_chunks_by_models_with_overlap(spark):
+    splitter, embedder = Lines(), Lengths()
+    texts = ["\n".join(f"sentence {i} of {k} " + "word " * (i * k % 23) for i in range(1, 60)) for k in range(1, 5)] + ["short\ntext", "one line only " * 60]
+
+    def by_hand(text, overlap):
+        sents = text.split("\n")
+        if len(sents) == 1 or len(text) <= 500:
+            return [text] if len(text) >= 80 else []
+        v = embedder.encode(sents)
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        sims = (v[:-1] * v[1:]).sum(1)
+        least, out, held, n = min(np.percentile(sims, 30), 0.75), [], [sents[0]], len(sents[0])
+        for s, sim in zip(sents[1:], sims):
+            if (sim < least and n > 300) or n + len(s) > 1200:
+                out.append(" ".join(held))
+                held = (held[-overlap:] if overlap else []) + [s]
+                n = sum(len(x) + 1 for x in held)
+            else:
+                held.append(s)
+                n += len(s) + 1
+        done = []
+        for piece in [*out, " ".join(held)]:
+            if done and len(piece) < 200:
+                done[-1] += " " + piece
+            else:
+                done.append(piece)
+        return [p for p in done if len(p) >= 80]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    models = local(Lines), local(Lengths)
+    for overlap in (0, 2):
+        got = {r.k: r.pieces for r in sg.prose_pieces(rows, *models, overlap).collect()}
+        assert got == {k: by_hand(t, overlap) for k, t in enumerate(texts)}
+
+
+def local(kind):
+    """An instance of a copy of the class that is sent to workers whole."""
+    return type(kind.__name__, (), {k: types.FunctionType(f.__code__, {"np": np}) for k, f in vars(kind).items() if callable(f)})()
