@@ -16,8 +16,10 @@ size class apart, two sets cannot be similar enough) and by a hash. A block's
 intersections are one matrix product over the elements that two of its sets
 hold, and it gives out a spanning forest of its links, never the pairs.
 Large families take two rounds: each block against the first ones, which joins
-most copies; then all blocks of members outside the family's largest component
-(strays) against all its blocks. So every pair is compared or already joined.
+most copies; then, bucket by bucket, blocks of members outside the family's
+largest component (strays) against all blocks of the bucket, so a family that
+chains through many unlike texts costs what its buckets hold, not its square. So
+every pair that shares a bucket is compared or already joined.
 Links are grouped by union-find: within each partition first, then by
 alternating star contractions until nothing changes.
 
@@ -284,7 +286,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     shared = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
     near = components(rows.join(shared, "key").where("rep > pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     family = scratch(near.unionByName(near.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("rep"), F.col("b").alias("g")).join(reps, "rep"), "family")
-    forget(marked, near)
+    forget(near)
     sets = scratch(set_table(docs, family.select(F.col("rep").alias("doc_id")), shingle), "sets")
 
     sizes = family.groupBy("g").agg((blocks_needed(F.count("*"), F.sum("n")) <= 1).alias("small"))
@@ -295,10 +297,12 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
 
     labelled = large.join(first.select(F.col("a").alias("rep"), F.col("b").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
     tops = labelled.groupBy("g", "own").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "own")).alias("most"))
-    rest = looked_up(labelled, tops, ["g"]).select("rep", "n", "g", "c", (F.col("own") == F.col("most.own")).alias("top"))
-    strays = shipped(placed(rest), ~(F.col("x.top") & F.col("y.top")))
+    rest = scratch(looked_up(labelled, tops, ["g"]).select("rep", "n", "c", (F.col("own") == F.col("most.own")).alias("top")), "rest")
+    bands = marked.where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "bands").join(rest.hint("shuffle_hash"), "rep").select("rep", "n", "c", "top", F.explode("bands").alias("g"))
+    open_buckets = bands.groupBy("g").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.min("top").alias("all_top")).where("first < last and not all_top").select("g")
+    strays = shipped(placed(scratch(bands.join(open_buckets, "g"), "buckets")), ~(F.col("x.top") & F.col("y.top")))
     found = components(first.unionByName(linked(strays, sets, percent)))
-    forget(first, family, sets)
+    forget(marked, first, family, sets)
 
     final = members.join(found.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
     component = F.coalesce("c", "rep")
