@@ -77,6 +77,13 @@ def permuted(index: Column, n: Column, sid: Column, epoch: Column, rounds: int =
     return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long")), index, step)
 
 
+def drawn(sid: Column, slot: Column, shards: int, seed: int = SEED) -> Column:
+    """The output shard that a slot draws."""
+    key = F.pmod(sid * 1_000_003 + slot * 7_919 + seed, F.lit(PRIME))
+    once = F.pmod(key * 40_014 + seed, F.lit(PRIME))
+    return F.pmod(F.shiftright(F.pmod(once * once + key, F.lit(PRIME)), 9), F.lit(shards)).cast("int")
+
+
 def slots(goals: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """sid, slot, epoch, block, words and shard of every slot of the mix."""
     plan = (
@@ -98,7 +105,7 @@ def slots(goals: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFra
     inside = F.col("i") < F.col("full")
     words = F.when((F.col("epoch") == F.col("epochs")) & (F.col("i") == F.col("last_full")), F.col("tail")).when(inside, F.lit(block)).otherwise(F.col("rest"))
     at = F.when(inside, permuted(F.col("i"), F.col("full"), F.col("sid"), F.col("epoch"))).otherwise(F.col("full"))
-    return each.select("sid", "slot", "epoch", at.alias("block"), words.cast("long").alias("words"), F.pmod(F.xxhash64(F.lit(SEED), "sid", "slot"), F.lit(shards)).cast("int").alias("shard"))
+    return each.select("sid", "slot", "epoch", at.alias("block"), words.cast("long").alias("words"), drawn(F.col("sid"), F.col("slot"), shards).alias("shard"))
 
 
 def streamed(sizes: DataFrame, goals: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm.byte_bpe import byte_bpe_digests
 from docloom.llm.common import table
@@ -12,6 +13,7 @@ from docloom.llm.media import audio_digests
 from docloom.llm.mixing import mix
 from docloom.llm.near_dedup import near_dedup
 from docloom.llm.ngram_lm import lm_quality
+from docloom.llm.oracles import SQL
 from docloom.llm.quality_rules import quality_rules
 from docloom.llm.sharding import shards
 from docloom.llm.token_counts import token_counts
@@ -27,7 +29,9 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    """The shards of a document's words as text, shard:words."""
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.withColumn("shards", F.array_join(F.transform("shards", lambda s: F.concat_ws(":", s["shard"], s["words"])), ","))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -4,7 +4,8 @@ Records are ordered by the digest of their text, then by that of their doc_id,
 so equal texts stand together. Size-weighted samples of these keys give quantile
 boundaries of many fine ranges, a few dozen to a shard, and each record is placed
 in its range. A group of equal texts never straddles ranges unless it is larger
-than GROUP_PART of a shard; such overfull keys are subdivided by doc_id. With the
+than one GROUP_PARTth of a shard and than any single record, which no shard can
+avoid; such overfull keys are subdivided by doc_id. With the
 sizes of the ranges known, each record has its exact offset in the whole order,
 and a shard is the interval that holds the record's middle. Groups up to that
 size move as one.
@@ -66,8 +67,8 @@ def among(ordered: list[str], key: Column) -> Column:
 def shards(docs: DataFrame, n_shards: int = SHARDS, overhead: int = OVERHEAD) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     records = scratch(keyed(docs, overhead), "records")
-    total = records.agg(F.sum("size")).first()[0] or 0
-    limit = total // (n_shards * GROUP_PART)
+    total, largest = (x or 0 for x in records.agg(F.sum("size"), F.max("size")).first())
+    limit = max(total // (n_shards * GROUP_PART), largest)
     ranges = min(MAX_RANGES, max(RANGES_PER_SHARD * n_shards, total // RANGE_BYTES))
     cuts, large = boundaries(records, total, ranges, limit) if total else ([], [])
 
