@@ -20,6 +20,8 @@ TOP_K, TOP_N, WINDOW, ANSWER_TOKENS, DRAFT_TOKENS = 50, 4, 0, 2048, 150
 DRAFT = "Write a short technical passage that could answer this question. Passage only.\n\nQuestion: {}\n\nPassage:"
 CHUNK = "qid int, rank int, doc_id string, source_file string, chunk_id string, section_path array<string>, text string"
 
+SOURCE = "qid int, rank int, source_file string, section_path array<string>, heading string, rerank_score double, score double, has_table boolean, has_formula boolean, text string"
+
 
 @dataclass
 class Result:
@@ -81,6 +83,13 @@ class Engine:
         rows = [(0, i, c["doc_id"], c["source_file"], c["chunk_id"], c["section_path"], c["text"]) for i, c in enumerate(kept)]
         return cx.context(self.chunks.sparkSession.createDataFrame(rows, CHUNK)).first().context
 
+    def sources(self, kept: list[dict]) -> str:
+        """The chunks as a markdown list."""
+        if not kept:
+            return ""
+        rows = [(0, i, c["source_file"], c["section_path"], c["heading"], c["rerank_score"], c["score"], c["has_table"], c["has_formula"], c["text"]) for i, c in enumerate(kept)]
+        return cx.sources_markdown(self.chunks.sparkSession.createDataFrame(rows, SOURCE)).first().sources
+
     def prompt(self, question: str, context: str) -> str:
         turns = "\n".join(f"Q: {q}\nA: {a[:300]}...\n" for q, a in self.history[-cx.HISTORY :])
         told = f"{cx.HISTORY_MARK}\n{turns}\n" if turns else ""
@@ -147,6 +156,22 @@ def console(engine: Engine, lines: Iterable[str]) -> Iterator[str]:
         yield printed(engine.query(typed[len("norewrite ") :].strip() if plain else typed, rewrite_query=not plain))
 
 
+def chat(engine: Engine, message: str, turns: list[dict], rewrite: bool = True) -> Iterator[tuple[list[dict], str]]:
+    """(turns, sources) as a chat page shows them: when the sources are found, and when the answer is there. A blank message changes nothing."""
+    if not message.strip():
+        yield turns, ""
+        return
+    search = engine.rewrite(message) if rewrite else message
+    kept = engine.rerank(message, engine.retrieve(search, engine.embed(search)))
+    sources = engine.sources(kept)
+    asked = [*turns, {"role": "user", "content": message}]
+    yield [*asked, {"role": "assistant", "content": ""}], sources
+    answer = engine.answer(engine.prompt(message, engine.context(kept)))
+    note = f"*Searched for: `{search}`*\n\n" if search != message else ""
+    engine.history = [*engine.history, (message, answer)][-cx.HISTORY :]
+    yield [*asked, {"role": "assistant", "content": note + answer}], sources
+
+
 if __name__ == "__main__":
     import sys
 

@@ -10,9 +10,9 @@ from docloom.models import OFFLINE, HashedWords, embedded, words_of
 from docloom.operators import retrieval as rt
 from docloom.operators.index import ChunkIndex
 from docloom.plans.catalog import passages
-from docloom.plans.engine import Engine, console, printed
+from docloom.plans.engine import Engine, chat, console, printed
 from docloom.sources.documents import file_count, ingest, manifest, page_counts, paths, pdf_files, read_chunks, unseen, write_chunks
-from docloom.streaming.incremental import index_stream
+from docloom.streaming.incremental import chunk_stream, index_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,6 +95,9 @@ def test_engine_matches_plain_search_and_keeps_its_layout(spark):
     assert said.prompts[1].endswith(f"\n\n=== QUESTION ===\n{question}\n\n=== ANSWER ===\n\n### ASSISTANT\n")
     near = engine.expand(first.chunks, 1)
     assert [(c["doc_id"], c["chunk_id"]) for c in near] == sorted((c["doc_id"], c["chunk_id"]) for c in near) and len(near) >= len(kept)
+    first_view, last_view = chat(engine, question, [])
+    assert first_view[0][-1] == {"role": "assistant", "content": ""} and last_view[0][-1]["content"] == "an answer" and first_view[1] == last_view[1] and f"**1. {first.chunks[0]['source_file']}**" in last_view[1]
+    assert list(chat(engine, " ", [])) == [([], "")] and len(engine.history) == 3
     shown = list(console(engine, ["", "  ", "clear", "exit", question]))
     assert shown == ["History cleared."] and engine.history == [] and engine.query("  ").chunks == []
 
@@ -149,3 +152,13 @@ def test_index_upserts_and_looks_up(spark, tmp_path):
     assert {r.chunk_id for r in index.get(ids).collect()} == set(ids) == {r.chunk_id for r in index.get(changed.select("chunk_id")).collect()}
     with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND"):
         ChunkIndex(spark, str(tmp_path / "none"), create=False)
+
+
+def test_chunk_stream_takes_each_table_once(spark, tmp_path):
+    body = "# A\n" + "Words that are long enough to be kept as a chunk, with more of them. " * 2
+    rows = spark.createDataFrame([("d", "d.pdf", 0, body), ("e", "e.pdf", 0, body)], "doc_id string, source_file string, slice_start int, md string")
+    for part in (rows.where("doc_id = 'd'"), rows.where("doc_id = 'e'")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "md"))
+        chunk_stream(spark, str(tmp_path / "md"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = read_chunks(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.doc_id for r in got) == ["d", "e"] and all(r.section_path == ["A"] for r in got)
