@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -224,6 +225,63 @@ def test_media_digests_are_of_the_stored_rows(docs, monkeypatch):
         assert f"frames={frames};" in r.feature and r.feature.endswith(f"mel={zlib.crc32(np.rint(blocks * 16).astype(np.int16).tobytes()):08x}")
 
 
+def features_by_hand(samples):
+    """Log-mel frames and segments of 8-bit samples, by sums over one output at a time."""
+    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
+    taps, up, down, rate = media.TAPS, media.UP, media.DOWN, media.RATE
+    weights = np.empty((taps, up))
+    for p in range(up):
+        for t in range(taps):
+            d = t - taps // 2 + 1 - p * down / up
+            weights[t, p] = up / down * np.sinc(up / down * d) * np.cos(np.pi * d / (taps + 2)) ** 2
+    weights /= weights.sum(0)
+    n = -(-len(x) // down)
+    y = np.array([sum(weights[t, p] * x[i] for t in range(taps) if 0 <= (i := down * k + t - taps // 2 + 1) < len(x)) for k in range(n) for p in range(up)])
+    mel = lambda hz: 2595 * np.log10(1 + hz / 700)
+    edges = 700 * (10 ** (np.linspace(mel(60), mel(rate / 2), media.MELS + 2) / 2595) - 1)
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / media.FRAME) for i in range(media.FRAME)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME), np.arange(media.FFT // 2 + 1)) / media.FFT)
+    frames = []
+    for k in range(max(1, 1 + -(-(len(y) - media.FRAME) // media.HOP))):
+        part = np.zeros(media.FRAME)
+        own = y[k * media.HOP : k * media.HOP + media.FRAME]
+        part[: len(own)] = own
+        power = np.abs((part * window) @ turn) ** 2
+        hz = np.arange(len(power)) * rate / media.FFT
+        bands = [sum(p * max(0, min((h - lo) / (mid - lo), (hi - h) / (hi - mid))) for p, h in zip(power, hz)) for lo, mid, hi in zip(edges, edges[1:], edges[2:])]
+        frames.append(np.log10(np.array(bands) + 1e-6))
+    energy = np.array(frames).mean(1)
+    level, spread, found, begin, top = energy.mean(), energy.std(), [], None, False
+    for k, e in enumerate([*energy, -np.inf]):
+        if e > level + media.FALL * spread and spread >= 1e-9:
+            begin, top = (k if begin is None else begin), top or e > level + media.RAISE * spread
+        elif begin is not None:
+            if top:
+                found.append((begin * media.HOP / rate, ((k - 1) * media.HOP + media.FRAME) / rate))
+            begin, top = None, False
+    return np.array(frames), found
+
+
+def test_media_features_match_plain_sums(spark):
+    texts = ["a" * 200, "Some text, with words. " * 40, "é漢😀" * 300 + " tail " * 100, None, "x" * 64 + "zzz   " * 300]
+    rows = media.audio_features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        frames, segments = features_by_hand(media.from_wav(bytes(r.media)))
+        stored = pa.ipc.open_stream(bytes(r.tensors)).read_all()
+        blocks = stored.column("mel").combine_chunks().to_numpy_ndarray().reshape(-1, media.MELS)
+        assert r.frames == len(frames) and np.allclose(blocks[: len(frames)], frames, atol=2e-3) and not blocks[len(frames) :].any()
+        assert stored.column("begin_s").to_pylist() == pytest.approx([k * media.PATCH * media.HOP / media.RATE for k in range(len(stored))])
+        assert [x for s in r.segments for x in (s.begin_s, s.end_s)] == pytest.approx([x for s in segments for x in s])
+
+
+def test_media_blocks_join_without_a_seam(monkeypatch):
+    samples = np.random.default_rng(3).integers(0, 256, 20_000, np.uint8).tobytes()
+    whole = media.analyse(samples)
+    monkeypatch.setattr(media, "BLOCK", 64)
+    parts = media.analyse(samples)
+    assert np.allclose(whole[0], parts[0], atol=1e-4) and whole[2] == parts[2]
+
+
 def tiktoken_encoding():
     with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
