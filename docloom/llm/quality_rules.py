@@ -1,7 +1,7 @@
 """Quality rules: base counts, and a calibrated n-gram classifier.
 
-Words and characters are hashed as n-grams (words of order 1 and 2, UTF-8 byte
-runs of order 2, 4 and 6) into BUCKETS buckets. A text's feature vector holds
+Words and characters are hashed as n-grams (words of order 1 and 2, code points
+of order 2, 4 and 6) into BUCKETS buckets. A text's feature vector holds
 the share of each bucket among its n-grams of a family, so its logit is a bias
 plus the mean weight of its n-grams: scoring is a gather and a sum, in Arrow
 batches. Logistic regression is fitted on labelled rows (quality 1 and not
@@ -75,17 +75,22 @@ def base_counts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: n
     return len(starts), word_chars, n_symbols, dup, repeats
 
 
-def buckets(raw: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def characters(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def buckets(points: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(family, buckets of the n-grams) of one text; long texts come in several parts of a family."""
     for family, order in enumerate(CHAR_ORDERS):
-        for at in range(0, len(raw), SLICE):
-            part = raw[at : at + SLICE + order - 1]
+        for at in range(0, len(points), SLICE):
+            part = points[at : at + SLICE + order - 1]
             n = len(part) - order + 1
             if n > 0:
                 key = np.full(n, order, np.uint64)
                 for k in range(order):
-                    key *= np.uint64(256)
-                    key |= part[k : k + n]
+                    key *= np.uint64(0xD6E8FEB86659FD93)
+                    key += part[k : k + n]
                 key *= np.uint64(0x9E3779B97F4A7C15)
                 yield family, (key >> np.uint64(46)).astype(np.int32)
     for family, order in enumerate(WORD_ORDERS, len(CHAR_ORDERS)):
@@ -93,9 +98,9 @@ def buckets(raw: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarr
             yield family, (runs(hashes, order) >> np.uint64(46)).astype(np.int32)
 
 
-def family_means(raw: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> float:
+def family_means(points: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> float:
     sums, counts = np.zeros(FAMILIES), np.zeros(FAMILIES)
-    for family, of in buckets(raw, hashes):
+    for family, of in buckets(points, hashes):
         sums[family] += weights.take(of).sum(dtype=np.float64)
         counts[family] += len(of)
     return float((sums / np.maximum(counts, 1)).sum())
@@ -106,7 +111,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(text.encode(), np.uint8)
     starts, ends = word_spans(raw)
     parts: dict[int, list[np.ndarray]] = {}
-    for family, of in buckets(raw, word_hashes(raw, starts, ends)):
+    for family, of in buckets(characters(text), word_hashes(raw, starts, ends)):
         parts.setdefault(family, []).append(of)
     if not parts:
         return np.empty(0, np.int32), np.empty(0, np.float32)
@@ -122,8 +127,8 @@ class Classifier:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float):
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
 
-    def probability(self, raw: np.ndarray, hashes: np.ndarray) -> float:
-        z = self.slope * (family_means(raw, hashes, self.weights) + self.bias) + self.offset
+    def probability(self, points: np.ndarray, hashes: np.ndarray) -> float:
+        z = self.slope * (family_means(points, hashes, self.weights) + self.bias) + self.offset
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -293,7 +298,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
                 a, b = np.searchsorted(starts, (at, at + size))
                 counts = base_counts(own, starts[a:b], ends[a:b], hashes[a:b], text)
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > REPEAT_PERCENT * counts[0]
-                p = model.probability(own, hashes[a:b]) if model is not None else 1.0
+                p = model.probability(characters(text), hashes[a:b]) if model is not None else 1.0
                 if toxicity is not None:
                     p = min(p, toxicity.probability(hashes[a:b]))
                 rows.append((*counts, failed, p, not failed and p >= threshold))
