@@ -63,18 +63,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     )
 
 
-def permuted(index: Column, n: Column, sid: Column, epoch: Column, rounds: int = ROUNDS, seed: int = SEED) -> Column:
-    """Where the swap-or-not permutation of 0..n-1 puts index; one for each (sid, epoch)."""
+def round_keys(sid: Column, epoch: Column, n: Column, rounds: int = ROUNDS, seed: int = SEED) -> Column:
+    """For each round of the permutation of (sid, epoch) its key, and the sum of an index and its partner, modulo n."""
 
-    def step(x: Column, r: Column) -> Column:
+    def one(r: Column) -> Column:
         key = F.pmod(F.pmod(sid * 1_000_003 + epoch * 7_919 + r * 104_729 + seed, F.lit(PRIME)) * 48_271, F.lit(PRIME))
-        other = F.pmod(F.pmod(key * 16_807, F.lit(PRIME)) * 69_621 - x, n)
-        high = F.pmod(F.greatest(x, other), F.lit(PRIME))
-        once = F.pmod(high * 40_014 + key, F.lit(PRIME))
-        bit = F.pmod(F.shiftright(F.pmod(once * once + key, F.lit(PRIME)), 9), F.lit(2))
+        return F.struct(key.alias("key"), F.pmod(F.pmod(key * 16_807, F.lit(PRIME)) * 69_621, n).alias("sum"))
+
+    return F.transform(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long")), one)
+
+
+def permuted(index: Column, n: Column, keys: Column) -> Column:
+    """Where the swap-or-not permutation of 0..n-1 with these round_keys() puts index."""
+
+    def step(x: Column, r: Column) -> Column:
+        other = F.pmod(r["sum"] - x, n)
+        once = F.pmod(F.pmod(F.greatest(x, other), F.lit(PRIME)) * 40_014 + r["key"], F.lit(PRIME))
+        bit = F.pmod(F.shiftright(F.pmod(once * once + r["key"], F.lit(PRIME)), 9), F.lit(2))
         return F.when(bit == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long")), index, step)
+    return F.aggregate(keys, index, step)
 
 
 def drawn(sid: Column, slot: Column, shards: int, seed: int = SEED) -> Column:
@@ -94,18 +102,19 @@ def slots(goals: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFra
         .withColumn("epochs", F.expr("owed div source_size"))
         .withColumn("last_full", F.expr(f"least((owed % source_size) div {block}, full)"))
         .withColumn("tail", F.expr(f"owed % source_size - last_full * {block}"))
-        .withColumn("n_slots", F.col("epochs") * F.col("each") + F.col("last_full") + F.when(F.col("tail") > 0, 1).otherwise(0))
         .drop("source", "target")
     )
-    chunks = plan.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(CHUNK).cast("long"))))
+    epochs = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs")))).withColumn("n_slots", F.when(F.col("epoch") < F.col("epochs"), F.col("each")).otherwise(F.col("last_full") + F.when(F.col("tail") > 0, 1).otherwise(0)))
+    chunks = epochs.where("n_slots > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(CHUNK).cast("long"))))
     owed = goals.agg(F.sum("owed")).first()[0] or 0
-    parts = chunks.repartition(int(min(MAX_PARTS, owed // (block * CHUNK) + 8)), "sid", "first")  # a number given is not coalesced
-    each = parts.withColumn("slot", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK, F.col("n_slots")) - 1)))
-    each = each.withColumn("epoch", F.expr("slot div each")).withColumn("i", F.expr("slot % each"))
+    parts = chunks.repartition(int(min(MAX_PARTS, owed // (block * CHUNK) + 8)), "sid", "epoch", "first")  # a number given is not coalesced
+    keyed = parts.withColumn("keys", round_keys(F.col("sid"), F.col("epoch"), F.greatest("full", F.lit(1))))  # once for all slots of a chunk
+    each = keyed.withColumn("i", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK, F.col("n_slots")) - 1)))
     inside = F.col("i") < F.col("full")
     words = F.when((F.col("epoch") == F.col("epochs")) & (F.col("i") == F.col("last_full")), F.col("tail")).when(inside, F.lit(block)).otherwise(F.col("rest"))
-    at = F.when(inside, permuted(F.col("i"), F.col("full"), F.col("sid"), F.col("epoch"))).otherwise(F.col("full"))
-    return each.select("sid", "slot", "epoch", at.alias("block"), words.cast("long").alias("words"), drawn(F.col("sid"), F.col("slot"), shards).alias("shard"))
+    at = F.when(inside, permuted(F.col("i"), F.col("full"), F.col("keys"))).otherwise(F.col("full"))
+    slot = F.col("epoch") * F.col("each") + F.col("i")
+    return each.select("sid", slot.alias("slot"), "epoch", at.alias("block"), words.cast("long").alias("words"), drawn(F.col("sid"), slot, shards).alias("shard"))
 
 
 def streamed(sizes: DataFrame, goals: DataFrame) -> DataFrame:

@@ -97,10 +97,9 @@ def test_mix_goes_to_the_shards_drawn(docs):
 
 
 def test_permutations_are_bijections(spark):
-    from pyspark.sql import functions as F
-
     for n in (1, 2, 7, 100):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"), F.lit(1).cast("long"))).collect()
+        size, sid, epoch = (F.lit(k).cast("long") for k in (n, 3, 1))
+        got = spark.range(n).select(mixing.permuted(F.col("id"), size, mixing.round_keys(sid, epoch, size))).collect()
         assert sorted(r[0] for r in got) == list(range(n))
 
 
