@@ -45,4 +45,18 @@ sums AS (SELECT sid, nth, shard, sum(words)::BIGINT AS words FROM uses WHERE wor
 taken AS (SELECT sid, nth, sum(words)::BIGINT AS taken, string_agg(shard || ':' || words, ',' ORDER BY shard) AS shards FROM sums GROUP BY ALL)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shards, '') AS shards FROM streams LEFT JOIN taken USING (sid, nth)"""
 
-SQL = {"op1_shards": OP1_SQL, "op2_mix": OP2_SQL}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All pairs that share an element, which suits tables of a few thousand documents.
+OP10_SQL = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{mx.WORD}') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS elements FROM words),
+members AS (SELECT doc_id, unnest(elements) AS e FROM sets),
+sizes AS (SELECT doc_id, len(elements)::BIGINT AS n FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM members a JOIN members b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (SELECT a, b FROM ends UNION SELECT r.doc_id, l.b FROM reached r JOIN ends l ON l.a = r.other),
+least_of AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(m.other, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(m.other, s.doc_id)) AS kept FROM sizes s LEFT JOIN least_of m ON m.doc_id = s.doc_id"""
+
+SQL = {"op1_shards": OP1_SQL, "op2_mix": OP2_SQL, "op10_near_dedup": OP10_SQL}
