@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docloom.llm import mixing as mx
 from docloom.llm import sharding as sh
+from docloom.llm import url_filter as uf
 
 #: CRC-32 byte by byte: the table follows from the reversed polynomial.
 CRC_SQL = """bits AS (SELECT list(list_reduce([i::BIGINT] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
@@ -59,4 +60,39 @@ reached(doc_id, other) AS (SELECT a, b FROM ends UNION SELECT r.doc_id, l.b FROM
 least_of AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
 SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(m.other, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(m.other, s.doc_id)) AS kept FROM sizes s LEFT JOIN least_of m ON m.doc_id = s.doc_id"""
 
-SQL = {"op1_shards": OP1_SQL, "op2_mix": OP2_SQL, "op10_near_dedup": OP10_SQL}
+
+
+def rule_case(part: int) -> str:
+    """What the longest rule that fits says: its verdict (part 0) or itself (part 1)."""
+    out = []
+    for rule in sorted(uf.RULES, key=lambda r: (len(r[1]), r[1]), reverse=True):
+        name, _, path = rule[1].partition("/")
+        out.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{path}') THEN '{rule[part]}'")
+    return f"CASE {' '.join(out)} END"
+
+
+ALIKE = "(bad * all_labelled - all_bad * labelled)::DOUBLE ** 2 <= 4 * all_bad::DOUBLE * (all_labelled - all_bad) * labelled"
+BOUND = f"sqrt(0.5 * ln(2 / {uf.LEVEL}::DOUBLE))"
+
+#: The tree is rewritten as a whole at each place of the paths; branches are compared child by child.
+OP9_SQL = f"""WITH RECURSIVE rests AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (SELECT page_id, translate(regexp_extract(rest, '\\A([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '\\A[^/?#]*([^?#]*)', 1) AS path FROM rests),
+judged AS (SELECT *, {rule_case(1)} AS rule, {rule_case(0)} AS ruled, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END), '/') AS form FROM parsed),
+tree(host, form, bad, labelled, pages, branch, place) AS (SELECT host, form, count(*) FILTER (ruled = 'block')::BIGINT, count(ruled)::BIGINT, count(*)::BIGINT, string_split(form, '/'), 0 FROM judged GROUP BY host, form
+ UNION ALL (WITH cur AS (SELECT *, branch[:place] AS parent, branch[place + 1] AS raw, coalesce(branch[place + 2], '{uf.END}') AS child FROM tree WHERE place < (SELECT max(len(branch)) FROM tree)),
+ fans AS (SELECT host, parent, count(DISTINCT raw) AS k FROM cur GROUP BY ALL),
+ seg AS (SELECT cur.*, CASE WHEN raw IS NOT NULL AND k > {uf.FAN_OUT} THEN '*' ELSE raw END AS segment FROM cur JOIN fans USING (host, parent)),
+ each AS (SELECT host, parent, segment, sum(bad)::BIGINT AS bad, sum(labelled)::BIGINT AS labelled, sum(pages)::BIGINT AS n FROM seg WHERE segment IS NOT NULL GROUP BY ALL),
+ pool AS (SELECT host, parent, sum(bad)::BIGINT AS all_bad, sum(labelled)::BIGINT AS all_labelled, sum(n)::BIGINT AS all_n, count(*) AS k FROM each GROUP BY ALL),
+ kids AS (SELECT host, parent, segment, child, sum(pages)::BIGINT AS c FROM seg WHERE segment IS NOT NULL GROUP BY ALL),
+ kinds AS (SELECT host, parent, child, sum(c)::BIGINT AS all_c FROM kids GROUP BY ALL),
+ unlike AS (SELECT DISTINCT e.host, e.parent, e.segment FROM each e JOIN kinds t USING (host, parent) JOIN pool p USING (host, parent) LEFT JOIN kids d ON d.host = e.host AND d.parent = e.parent AND d.segment = e.segment AND d.child = t.child WHERE abs(coalesce(d.c, 0) / e.n - t.all_c / p.all_n) > {BOUND} * (1 / sqrt(e.n) + 1 / sqrt(p.all_n))),
+ same AS (SELECT e.host, e.parent, e.segment FROM each e JOIN pool p USING (host, parent) ANTI JOIN unlike u ON u.host = e.host AND u.parent = e.parent AND u.segment = e.segment WHERE k >= 2 AND {ALIKE})
+ SELECT g.host, g.form, g.bad, g.labelled, g.pages, CASE WHEN g.segment IS NULL THEN g.branch ELSE g.branch[:g.place] || [CASE WHEN s.segment IS NULL THEN g.segment ELSE '{uf.MERGED}' END] || g.branch[g.place + 2:] END, g.place + 1 FROM seg g LEFT JOIN same s ON s.host = g.host AND s.parent = g.parent AND s.segment = g.segment)),
+leaves AS (SELECT * FROM tree WHERE place = (SELECT max(place) FROM tree)),
+pooled AS (SELECT *, {ALIKE} AS near FROM (SELECT *, sum(bad) OVER w AS all_bad, sum(labelled) OVER w AS all_labelled FROM leaves WINDOW w AS (PARTITION BY host, branch))),
+merged AS (SELECT *, CASE WHEN near THEN sum(bad) FILTER (near) OVER w ELSE bad END AS b, CASE WHEN near THEN sum(labelled) FILTER (near) OVER w ELSE labelled END AS m FROM pooled WINDOW w AS (PARTITION BY host, branch)),
+verdicts AS (SELECT host, form, array_to_string(list_transform(branch, lambda s: CASE WHEN s = '{uf.MERGED}' THEN '**' ELSE s END), '/') AS template, CASE WHEN (b + {uf.PRIOR * uf.STRENGTH}) / (m + {uf.STRENGTH}) >= {uf.REJECT} THEN 'block' ELSE 'allow' END AS by_template FROM merged)
+SELECT page_id, j.host, path, rule, coalesce(ruled, by_template) AS verdict, template FROM judged j JOIN verdicts v ON v.host = j.host AND v.form = j.form"""
+
+SQL = {"op1_shards": OP1_SQL, "op2_mix": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_near_dedup": OP10_SQL}
