@@ -224,12 +224,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch(ordered(forests(edges)), "links")
     while not are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = scratch(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # a table, so that adaptive execution can split the join where one a has many b
         large = ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         before, now = now, scratch(ordered(small), "links")
-        forget(before)
+        forget(before, least)
     return now
 
 
@@ -278,7 +278,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept (doc_id = component_id) of every row."""
     marked = scratch(signatures(docs, shingle), "signatures")
     keys = ["n_shingles", "d1", "d2"]
-    classes = marked.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    classes = scratch(marked.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")  # likewise, for many copies
     members = scratch(marked.select("doc_id", *keys).join(classes, keys, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
     reps = members.where("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n")).distinct()
@@ -286,7 +286,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     shared = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
     near = components(rows.join(shared, "key").where("rep > pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     family = scratch(near.unionByName(near.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("rep"), F.col("b").alias("g")).join(reps, "rep"), "family")
-    forget(near)
+    forget(near, classes)
     sets = scratch(set_table(docs, family.select(F.col("rep").alias("doc_id")), shingle), "sets")
 
     sizes = family.groupBy("g").agg((blocks_needed(F.count("*"), F.sum("n")) <= 1).alias("small"))
