@@ -8,7 +8,7 @@ import pytest
 from docloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["doc_id_normalize", "tokenize", "strip_think", "hyde_fallback", "html_to_markdown_pages", "line_explode", "junk_filter", "heading_blocks", "skip_noise_sections", "subblock_segments", "sentence_split", "adjacent_similarity", "adaptive_threshold", "chunk_ids", "chunk_links", "page_slices", "index_new_chunks", "index_upsert", "index_metadata_roundtrip", "bm25_corpus_stats", "bm25_lexicon_idf", "bm25_zero_score_fill", "dense_topk", "dense_batch_topk", "l2_normalize", "hybrid_search", "rerank_topn", "expand_context", "build_context", "history_window", "build_prompt", "sources_markdown"]
+QUICK = ["doc_id_normalize", "tokenize", "strip_think", "hyde_fallback", "html_to_markdown_pages", "line_explode", "junk_filter", "heading_blocks", "skip_noise_sections", "subblock_segments", "sentence_split", "adjacent_similarity", "adaptive_threshold", "chunk_ids", "chunk_links", "page_slices", "index_new_chunks", "index_upsert", "index_metadata_roundtrip", "bm25_corpus_stats", "bm25_lexicon_idf", "bm25_zero_score_fill", "dense_topk", "dense_batch_topk", "l2_normalize", "hybrid_search", "rerank_topn", "expand_context", "build_context", "history_window", "build_prompt", "sources_markdown", "rewrite_notes", "table_split", "semantic_chunks", "chunk_table", "bm25_postings", "bm25_topk", "bm25_batch_topk"]
 
 
 @pytest.fixture(scope="module")
