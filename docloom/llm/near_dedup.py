@@ -167,7 +167,10 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[
 
 
 def linked(ship: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Forests (a, b) of the links within each task's sets; ship says which sets (rep) each task holds."""
+    """Forests (a, b) of the links within each task's sets; ship says which sets (rep) each task holds.
+
+    A table, so that no task of what reads it needs a second Python worker beside the one that compares sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"a": pa.int64(), "b": pa.int64()}
@@ -184,7 +187,7 @@ def linked(ship: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield record_batch(dict(zip("ab", forest(np.array(ids), held, percent), strict=True)), types)
 
     rows = ship.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("task", "rep", "elements")
-    return map_arrow(rows.repartition("task").sortWithinPartitions("task"), run, "a long, b long")
+    return scratch(map_arrow(rows.repartition("task").sortWithinPartitions("task"), run, "a long, b long"), "compared")
 
 
 def forests(edges: DataFrame) -> DataFrame:
@@ -291,14 +294,16 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     sized = looked_up(family, sizes, ["g"])
     large = sized.where("not small").select("rep", "n", "g", size_class(percent).alias("c"))
     firsts = shipped(placed(large.withColumn("top", F.lit(False))), (F.col("x.k") == 0) | (F.col("y.k") == 0))
-    first = components(linked(sized.where("small").select("rep", F.xxhash64("g").alias("task")).unionByName(firsts), sets, percent))
+    compared = linked(sized.where("small").select("rep", F.xxhash64("g").alias("task")).unionByName(firsts), sets, percent)
+    first = components(compared)
 
     labelled = large.join(first.select(F.col("a").alias("rep"), F.col("b").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
     tops = labelled.groupBy("g", "own").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "own")).alias("most"))
     rest = looked_up(labelled, tops, ["g"]).select("rep", "n", "g", "c", (F.col("own") == F.col("most.own")).alias("top"))
     strays = shipped(placed(rest), ~(F.col("x.top") & F.col("y.top")))
-    found = components(first.unionByName(linked(strays, sets, percent)))
-    forget(first, family, sets)
+    compared_again = linked(strays, sets, percent)
+    found = components(first.unionByName(compared_again))
+    forget(first, family, sets, compared, compared_again)
 
     final = members.join(found.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
     component = F.coalesce("c", "rep")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -15,7 +16,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, html_extract, media, mixing, near_dedup, ngram_lm, quality_rules, sharding, token_counts, url_filter
+from docloom.llm import byte_bpe, common, html_extract, media, mixing, near_dedup, ngram_lm, quality_rules, sharding, token_counts, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, size string, row string"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -569,3 +570,39 @@ def test_intersections_are_exact():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 30_000, n, np.uint64)) for n in (1, 5, 20_000, 25_000, 25_000)]
     assert near_dedup.intersections(sets).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets]
+
+
+def test_comparing_and_joining_links_share_no_stage(docs, monkeypatch):
+    found, chained = near_dedup.forests, []
+    monkeypatch.setattr(near_dedup, "forests", lambda edges: chained.append("MapInArrow" in edges._jdf.queryExecution().toString()) or found(edges))
+    near_dedup.near_dedup(docs, 2).count()
+    assert len(chained) == 3 and not any(chained)  # each task of such a stage would need two Python workers
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    wide = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sent = common.map_arrow(wide, run, "rows long, size long").collect()
+    assert sum(r.rows for r in sent) == 40 and max(r.size for r in sent) < common.BATCH_BYTES + (2 << 20)
+
+
+def test_tasks_give_their_memory_back(spark):
+    def resident():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) >> 10
+
+    def run(batches):
+        for _ in batches:
+            before = resident()
+            held = [bytearray(100_000) for _ in range(2_000)]
+            common.last_block = held[-1]  # above it nothing is free, so that the allocator alone gives nothing back
+            peak = resident()
+            del held
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "before": [before], "peak": [peak]})
+
+    df = common.map_arrow(spark.range(0, 1, 1, 1), run, "pid long, before long, peak long")
+    rows = [df.collect()[0] for _ in range(12)]
+    again = [(a, b) for i, b in enumerate(rows) for a in rows[:i] if a.pid == b.pid]
+    assert again and all(b.before < a.peak - 100 for a, b in again)
