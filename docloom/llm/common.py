@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
-import os
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,27 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.arrow import BATCH, BATCH_BYTES, BATCH_ROWS, BYTES, ROOT, small_batches, trim, workers_import  # noqa: F401
 from docloom.sources.tables import forget, recorded, remove, scratch, scratch_dir  # noqa: F401
 
-ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows of a batch to Python: each worker and its executor hold a batch of whole texts, and operators regroup rows by bytes.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
-#: Bytes of a batch to Python, unless the session sets them: some rows are bundles or sets, of megabytes each. A larger row is a batch of its own.
-BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_import(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-
-
 #: What a worker keeps for its next task: one thing at most, since workers outlive the operator that filled them.
 _kept: dict = {}
 
@@ -55,21 +38,10 @@ def release() -> None:
         pa.default_memory_pool().release_unused()
 
 
-def trim() -> None:
-    """Return to the system what is free in this worker's allocators: else an idle worker keeps the most that any task needed."""
-    pa.default_memory_pool().release_unused()
-    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-    if give_back:
-        give_back(ctypes.c_size_t(0))
-
-
 def map_arrow(df: DataFrame, fn, schema: str | T.StructType, keeps: bool = False) -> DataFrame:
     """mapInArrow, in batches of about BATCH_ROWS and BATCH_BYTES at most; unless fn keeps something itself, its tasks first drop what another operator left in the worker. A task that ends gives its free memory back."""
     workers_import(df.sparkSession)
-    if not 0 < int(df.sparkSession.conf.get(BATCH)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(BATCH, BATCH_ROWS)
-    if df.sparkSession.conf.get(BYTES, None) is None:
-        df.sparkSession.conf.set(BYTES, BATCH_BYTES)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.enable()
