@@ -26,8 +26,9 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on batches to Python hold about BATCH_ROWS and BATCH_BYTES at most."""
+def small_batches(spark: SparkSession | None = None) -> None:
+    """From now on batches to Python hold about BATCH_ROWS and BATCH_BYTES at most, in this session or the active one."""
+    spark = spark or SparkSession.active()
     if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
         spark.conf.set(BATCH, BATCH_ROWS)
     if spark.conf.get(BYTES, None) is None:

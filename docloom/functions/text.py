@@ -118,11 +118,15 @@ def bucket(token: Column, dims: int) -> Column:
 
 
 class Buckets(dict):
-    """The bucket of each token, in step with bucket(), computed once."""
+    """The bucket of each token, in step with bucket(), computed once, or again after MOST others."""
+
+    MOST = 1 << 17
 
     def __init__(self, dims: int):
         self.dims = dims
 
     def __missing__(self, token: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
         out = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims
         return out

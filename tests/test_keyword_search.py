@@ -3,9 +3,12 @@
 import math
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import text as tx
+from docloom.functions.arrow import BATCH, BYTES
 from docloom.models import words_of
 from docloom.operators import retrieval as rt
 
@@ -59,3 +62,25 @@ def test_searches_shuffle_the_best_and_match_plain_loops(spark, index):
             want.update((f"q{i}", d, scores[d], rank) for rank, d in enumerate(best))
     near = lambda rows: Counter((q, d, round(s, 7), r) for q, d, s, r in rows)
     assert near(got) == near(want)
+
+
+def test_bags_are_made_in_small_batches(spark):
+    for key in (BATCH, BYTES):
+        spark.conf.unset(key)
+    rows = spark.createDataFrame([(i, f"word{i % 7} " * 4000) for i in range(600)], "pos long, text string").coalesce(1)
+    tokens = rows.select(tx.tokens(F.col("text")).alias("tokens"))
+    bags = rt.hashed_bags(F.col("tokens"), 64)
+
+    @F.pandas_udf("long")
+    def held(part: pd.Series) -> pd.Series:
+        return pd.Series([len(part) * 4000] * len(part))
+
+    assert tokens.select(held("tokens")).distinct().orderBy(F.desc("held(tokens)")).first()[0] < 2_400_000  # of 600 rows at once
+    assert {sum(r.bag) for r in tokens.select(bags.alias("bag")).collect()} == {4000}
+
+
+def test_buckets_are_bounded(monkeypatch):
+    monkeypatch.setattr(tx.Buckets, "MOST", 10)
+    known = tx.Buckets(64)
+    first = [known[f"w{i}"] for i in range(100)]
+    assert len(known) <= 10 and [known[f"w{i}"] for i in range(100)] == first
