@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import text as tx
+from docloom.functions.arrow import small_batches, trim
 from docloom.models import Embedder, SentenceSplitter
 
 MAX_CHARS, MIN_CHARS, MIN_PIECE, CEILING = 1200, 80, 200, 0.75
@@ -34,9 +36,12 @@ def table_pieces(text: Column, limit: int = MAX_CHARS) -> Column:
         return out + ["\n".join([*head, *held])] if held or not out else out
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(tables: pd.Series) -> pd.Series:
-        return tables.map(one)
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for tables in parts:
+            yield tables.map(one)
+        trim()
 
+    small_batches()
     return cut(text)
 
 

@@ -3,9 +3,11 @@
 import types
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.functions.arrow import BATCH, BYTES
 from docloom.operators import segments as sg
 from docloom.operators.blocks import heading_blocks, line_table, sub_blocks
 from docloom.operators.chunks import chunk_markdown
@@ -130,3 +132,17 @@ def test_chunks_by_models_with_overlap(spark):
 def local(kind):
     """An instance of a copy of the class that is sent to workers whole."""
     return type(kind.__name__, (), {k: types.FunctionType(f.__code__, {"np": np}) for k, f in vars(kind).items() if callable(f)})()
+
+
+def test_tables_go_to_python_in_small_batches(spark):
+    for key in (BATCH, BYTES):
+        spark.conf.unset(key)
+    rows = spark.createDataFrame([(i, "| head |\n" * 2 + f"| {'x' * 90} |\n" * 200) for i in range(1500)], "i long, t string").coalesce(1)
+    made = rows.select(sg.table_pieces(F.col("t")).alias("p"))
+
+    @F.pandas_udf("long")
+    def held(part: pd.Series) -> pd.Series:
+        return pd.Series([part.str.len().sum()] * len(part))
+
+    assert rows.select(F.max(held("t"))).first()[0] < 6 << 20  # of 28 MB at once
+    assert made.select(F.sum(F.size("p"))).first()[0] == 1500 * len(table_by_hand(rows.first().t))
