@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,6 +50,8 @@ def sentences(text: Column, splitter: SentenceSplitter | None = None) -> Column:
     if splitter is None:
         return F.filter(F.split(tx.strip(text), r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
 
+    small_batches()
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: splitter.split(t or ""))
@@ -60,6 +62,8 @@ def sentences(text: Column, splitter: SentenceSplitter | None = None) -> Column:
 def embedded_similarities(found: Column, embedder: Embedder) -> Column:
     """Cosine of each sentence and the next, by an embedder, which gets the sentences of a batch of texts at once."""
 
+    small_batches()
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def similar(texts: pd.Series) -> pd.Series:
         every = [s for sents in texts for s in sents]
@@ -76,9 +80,14 @@ def embedded_similarities(found: Column, embedder: Embedder) -> Column:
 BREAK = "\0"
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def adjacent_similarities(found: pd.Series) -> pd.Series:
+def adjacent_similarities(found: Column) -> Column:
     """Cosine of each sentence and the next. Stand-in embedding: hashed bags of words, kept as whole numbers, so that sums are exact in any order."""
+    small_batches()
+    return hashed_similarities(found)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hashed_similarities(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     gone = str.maketrans("", "", string.punctuation)
     known = tx.Buckets(DIMS)
 
@@ -95,7 +104,9 @@ def adjacent_similarities(found: pd.Series) -> pd.Series:
         both = norms[:-1] * norms[1:]
         return np.where(both > 0, dots / np.where(both > 0, both, 1.0), 0.0)
 
-    return found.map(one)
+    for found in parts:
+        yield found.map(one)
+    trim()
 
 
 def threshold(sims: Column) -> Column:
@@ -108,8 +119,8 @@ def threshold(sims: Column) -> Column:
     return F.least(F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t), F.lit(CEILING))
 
 
-def packed(sents: Column, sims: Column, limit: Column, overlap: int = 0) -> Column:
-    """Sentences packed in order: a piece ends where similarity falls below the limit past 300 characters, or where MAX_CHARS would be passed; the next begins with its last `overlap` sentences. Linear in the sentences."""
+def packed(sents: Column, sims: Column, limit: Column, overlap: int = 0, merge: bool = False) -> Column:
+    """Sentences packed in order: a piece ends where similarity falls below the limit past 300 characters, or where MAX_CHARS would be passed; the next begins with its last `overlap` sentences. Linear in the sentences. merge: as merged(), by the same worker."""
 
     def one(found: np.ndarray, near: np.ndarray, least: float) -> list[str]:
         if not len(found):
@@ -126,27 +137,34 @@ def packed(sents: Column, sims: Column, limit: Column, overlap: int = 0) -> Colu
         return [*out, " ".join(held)]
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pack(found: pd.Series, near: pd.Series, least: pd.Series) -> pd.Series:
-        return pd.Series([one(*x) for x in zip(found, near, least, strict=True)])
+    def pack(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in parts:
+            made = [one(*x) for x in zip(*columns, strict=True)]
+            yield pd.Series([joined(x) for x in made] if merge else made)
+        trim()
 
+    small_batches()
     return pack(sents, sims, limit)
 
 
-def merged(pieces: Column) -> Column:
+def joined(found: Iterable[str]) -> list[str]:
     """Pieces under MIN_PIECE characters join the piece before them."""
+    groups: list[list[str]] = []
+    for piece in found:
+        if groups and len(piece) < MIN_PIECE:
+            groups[-1].append(piece)
+        else:
+            groups.append([piece])
+    return [" ".join(g) for g in groups]
 
-    def one(found: np.ndarray) -> list[str]:
-        groups: list[list[str]] = []
-        for piece in found:
-            if groups and len(piece) < MIN_PIECE:
-                groups[-1].append(piece)
-            else:
-                groups.append([piece])
-        return [" ".join(g) for g in groups]
+
+def merged(pieces: Column) -> Column:
+    """joined() of a column."""
+    small_batches()
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def merge(rows: pd.Series) -> pd.Series:
-        return rows.map(one)
+        return rows.map(joined)
 
     return merge(pieces)
 
@@ -156,7 +174,7 @@ def prose_pieces(rows: DataFrame, splitter: SentenceSplitter | None = None, embe
     known = rows.withColumn("sents", sentences(F.col("text"), splitter))
     known = known.withColumn("many", (F.size("sents") > 1) & (F.length("text") > SHORT)).withColumn("asked", F.when(F.col("many"), F.col("sents")).otherwise(F.array().cast("array<string>")))
     cut = known.withColumn("sims", embedded_similarities(F.col("asked"), embedder) if embedder else adjacent_similarities(F.col("asked"))).withColumn("limit", threshold(F.col("sims")))
-    made = F.when(F.col("many"), merged(packed(F.col("asked"), F.col("sims"), F.col("limit"), overlap))).otherwise(F.array("text"))
+    made = F.when(F.col("many"), packed(F.col("asked"), F.col("sims"), F.col("limit"), overlap, merge=True)).otherwise(F.array("text"))
     return cut.withColumn("pieces", made).withColumn("pieces", F.filter("pieces", lambda p: F.length(p) >= MIN_CHARS)).drop("sents", "asked", "many", "sims", "limit")
 
 

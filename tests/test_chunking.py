@@ -146,3 +146,23 @@ def test_tables_go_to_python_in_small_batches(spark):
 
     assert rows.select(F.max(held("t"))).first()[0] < 6 << 20  # of 28 MB at once
     assert made.select(F.sum(F.size("p"))).first()[0] == 1500 * len(table_by_hand(rows.first().t))
+
+
+class Few(Lengths):
+    """Takes the sentences of small batches alone."""
+
+    def encode(self, texts):
+        if sum(len(t) for t in texts) > 6 << 20:
+            raise ValueError("a large batch")
+        return np.array([[len(t) % 7 + 1, len(t) % 5, 1] for t in texts], np.float64)
+
+
+def test_sentences_go_to_python_in_small_batches(spark):
+    for key in (BATCH, BYTES):
+        spark.conf.unset(key)
+    text = "\n".join(f"sentence {i} " + "word " * 20 for i in range(200))
+    rows = spark.range(1000).select("id", F.lit(text).alias("text")).coalesce(1)
+    made = sg.prose_pieces(rows, local(Lines), local(Few))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3  # split, compare, and pack with merge
+    assert made.select(F.sum(F.size("pieces"))).first()[0] > 1000
