@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import string
@@ -16,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.arrow import small_batches, trim
+from docloom.functions.text import Buckets
+
 OFFLINE = "The language model is not available, so no answer was generated. The sources found are listed."
 
 
@@ -49,15 +51,13 @@ class HashedWords:
     """Bag of hashed words, normalised."""
 
     def __init__(self, dims: int = 64):
-        self.dims = dims
+        self.dims, self.known = dims, Buckets(dims)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), np.float32)
         gone = str.maketrans("", "", string.punctuation)
         for row, text in zip(out, texts, strict=True):
-            for token in text.lower().translate(gone).split():
-                if len(token) > 1:
-                    row[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dims] += 1
+            row[:] = np.bincount([self.known[t] for t in text.lower().translate(gone).split() if len(t) > 1], minlength=self.dims)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -98,7 +98,9 @@ def embedded(rows: DataFrame, embedder: Embedder, prefix: str = "passage: ", bat
             full = [prefix + (t or "") for t in texts]
             made = [embedder.encode(full[i : i + batch]) for i in range(0, len(full), batch)]
             yield pd.Series([v for m in made for v in m])
+        trim()
 
+    small_batches(rows.sparkSession)
     return rows.withColumn("embedding", encode("text"))
 
 

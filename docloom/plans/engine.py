@@ -60,7 +60,9 @@ class Engine:
         """The fused top_k as rows of the chunk table with score and rank, best first."""
         asked = self.chunks.sparkSession.createDataFrame([(0, query)], "qid long, text string")
         fused = rt.rrf(rt.dense_topk(self.chunks, "pos", "embedding", vector, top_k), self.keywords.search(asked, top_k), top_k)
-        return [r.asDict(True) for r in self.chunks.drop("embedding").join(F.broadcast(fused), "pos").orderBy("rank").collect()]  # top_k rows
+        best = {r.pos: r for r in fused.collect()}  # top_k rows; their places go to the scan, so that the other chunks' columns are not made
+        found = [r.asDict(True) | {"score": best[r.pos].score, "rank": best[r.pos]["rank"]} for r in self.chunks.drop("embedding").where(F.col("pos").isin(list(best))).collect()]
+        return sorted(found, key=lambda c: c["rank"])
 
     def rerank(self, question: str, found: list[dict], top_n: int = TOP_N) -> list[dict]:
         """The top_n by the reranker's score, ties by rank; without a reranker, or without candidates, the first top_n."""

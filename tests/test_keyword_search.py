@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.functions.arrow import BATCH, BYTES
-from docloom.models import words_of
+from docloom.models import HashedWords, words_of
 from docloom.operators import retrieval as rt
 
 
@@ -84,3 +84,18 @@ def test_buckets_are_bounded(monkeypatch):
     known = tx.Buckets(64)
     first = [known[f"w{i}"] for i in range(100)]
     assert len(known) <= 10 and [known[f"w{i}"] for i in range(100)] == first
+
+
+def test_embedding_digests_each_token_once(monkeypatch):
+    made = []
+    digest = tx.hashlib.md5
+    monkeypatch.setattr("hashlib.md5", lambda b: made.append(b) or digest(b))
+    texts = ["Some words, some more words", "words a b", "", "more!"] * 50
+    got = HashedWords(8).encode(texts)
+    assert len(made) == 3
+    for text, row in zip(texts, got, strict=True):
+        counts = [0.0] * 8
+        for t in words_of(text):
+            counts[int(digest(t.encode()).hexdigest()[:8], 16) % 8] += 1
+        norm = math.sqrt(sum(c * c for c in counts)) or 1
+        assert [round(c / norm, 5) for c in counts] == [round(float(x), 5) for x in row]
